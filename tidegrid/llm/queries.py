@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, chat, mixing, toxicity, topk
+from tidegrid.llm import bpe, chat, langid, mixing, toxicity, topk
 from tidegrid.llm.common import load, normalised
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.line_dedup import line_dedup
 from tidegrid.llm.simhash import simhash_groups
+from tidegrid.llm.suffix_dedup import suffix_dedup
 
 TOKENIZER = os.environ.get("TIDEGRID_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
@@ -48,6 +49,12 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str = TOKENIZER)
     return load(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.with_language(docs.select("doc_id", "text"), langid.fit(docs), into="out")
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "out.lang_pred", "out.score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on 8 sources or more are cut."""
     out = line_dedup(load(spark, sf_dir, "documents"), min_sites=8)
@@ -86,6 +93,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.mapInArrow(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under repeated strings of 400 bytes are removed."""
+    out = suffix_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best of all other vectors for each vec_id divisible by 50."""
     own = load(spark, sf_dir, "embeddings").select("vec_id", topk.floor_components(F.col("embedding")).alias("v"))
@@ -102,9 +115,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_chat_format": op7_chat_format,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_toxicity": op10_toxicity,
 }
