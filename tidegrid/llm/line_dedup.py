@@ -13,7 +13,7 @@ from tidegrid.llm.common import checked_broadcast, materialize
 
 #: Of a sketch: log2 of its registers; and the part of the threshold around it in which the exact count decides, over six standard errors.
 SKETCH_BITS, MARGIN = 12, 0.1
-_BLANK = F.lit(" \t\n\x0b\x0c\r")
+_BLANK = " \t\n\x0b\x0c\r"
 
 
 def _lines(text: Column) -> Column:
@@ -22,7 +22,7 @@ def _lines(text: Column) -> Column:
 
 def spread_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = 8) -> DataFrame:
     """(h, n): hash and bytes of each line, without white space around it, that stands on min_sites sites or more. Blank lines never do; a null site is a site of its own."""
-    line = F.btrim(F.col("line"), _BLANK)
+    line = F.btrim(F.col("line"), F.lit(_BLANK))
     rows = docs.select(F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("")).alias("site"), F.explode(_lines(F.col(text))).alias("line"))
     rows = rows.select("site", F.xxhash64(line).alias("h"), F.octet_length(line).alias("n")).filter("n > 0")
     sketches = rows.groupBy("h", "n").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
@@ -42,7 +42,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", site: str = "source", text:
     documents. Null texts stay null. Rows that repeat a key and text are treated alike."""
     spread = materialize(spread_lines(docs, site, text, min_sites), "line-boilerplate")
     own = docs.select(F.col(key).alias("__key"), F.xxhash64(F.col(text)).alias("__text"), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
-    line = F.btrim(F.col("line"), _BLANK)
+    line = F.btrim(F.col("line"), F.lit(_BLANK))
     own = own.select("__key", "__text", "pos", F.xxhash64(line).alias("h"), F.octet_length(line).alias("n"))
     hit = own.join(checked_broadcast(spread.withColumn("cut", F.lit(True)), 24), ["h", "n"], "left")
     marks = hit.groupBy("__key", "__text").agg(F.collect_set(F.struct("pos", "n", F.coalesce("cut", F.lit(False)).alias("cut"))).alias("marks"), F.max("cut").alias("any"))
