@@ -291,7 +291,7 @@ def fc_bounded_log(spark, sf):
     return rounded(forecast.bounded(p1(spark, sf), lambda d: forecast.hist_avg(d, 14, D), "hist_avg"), ["hist_avg"], 3)
 
 
-_EXOG = f"""{P3}, s AS (SELECT unique_id, regr_slope(y, x) AS b, avg(y) AS ym, avg(x) AS xm, max(ds) AS last, max_by(x, ds) AS lx FROM p GROUP BY 1), k AS (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS k)"""
+_EXOG = f"""{P3}, s AS (SELECT unique_id, regr_slope(y, x) AS b, avg(y) AS ym, avg(x) AS xm, max(ds) AS last, max_by(x, ds) AS lx FROM p GROUP BY 1), k AS (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS k)"""
 
 
 def _exog(spark, sf):
@@ -380,11 +380,11 @@ def cv_any_model(spark, sf):
     return rounded(validation.train_test_cv(p1(spark, sf), lambda d: forecast.hist_avg(d, 7, D), 7, 3), ["hist_avg"])
 
 
-@query(f"WITH {P1}, {POS}, {CV3} SELECT cutoff, round(avg(abs(y - seasonal_naive)), 6) AS mae, round(avg((y - seasonal_naive) ** 2), 3) AS mse, round(sqrt(avg((y - seasonal_naive) ** 2)), 6) AS rmse FROM cv GROUP BY 1")
+@query(f"WITH {P1}, {POS}, {CV3} SELECT cutoff, round(avg(abs(y - seasonal_naive)), 6) AS mae, round(avg((y - seasonal_naive) ** 2), 6) AS mse, round(sqrt(avg((y - seasonal_naive) ** 2)), 6) AS rmse FROM cv GROUP BY 1")
 def cv_metrics_by_cutoff(spark, sf):
     y, f = F.col("y"), F.col("seasonal_naive")
     own = validation.seasonal_cv(p1(spark, sf), 7, 7, 3).groupBy("cutoff").agg(M.mae(y, f).alias("mae"), M.mse(y, f).alias("mse"), M.rmse(y, f).alias("rmse"))
-    return rounded(rounded(own, ["mae", "rmse"]), ["mse"], 3)
+    return rounded(rounded(own, ["mae", "rmse"]), ["mse"], 6)
 
 
 def tested(spark, sf):
@@ -410,14 +410,14 @@ def _table(metrics: Sequence[str], by: str = "unique_id") -> str:
 
 for _n, _ms in (("eval_mae_mse_rmse", ["mae", "mse", "rmse"]), ("eval_mape_smape", ["mape", "smape", "bias"])):
 
-    @query(f"WITH {TESTED}, e AS ({_table(_ms)}) SELECT unique_id, metric, " + ", ".join(f"round({f}, 3) AS {f}" for f in _THREE) + " FROM e", _n)
+    @query(f"WITH {TESTED}, e AS ({_table(_ms)}) SELECT unique_id, metric, " + ", ".join(f"round({f}, 5) AS {f}" for f in _THREE) + " FROM e", _n)
     def _eval(spark, sf, ms=_ms):
-        return rounded(evaluate.evaluate(tested(spark, sf)[0], _THREE, ms, ["unique_id"]), _THREE, 3)
+        return rounded(evaluate.evaluate(tested(spark, sf)[0], _THREE, ms, ["unique_id"]), _THREE, 5)
 
 
-@query(f"WITH {TESTED}, e AS ({_table(['mae', 'rmse'])}) SELECT unique_id, metric, forecaster, round(value, 3) AS value FROM (UNPIVOT e ON naive, hist_avg, drift INTO NAME forecaster VALUE value)")
+@query(f"WITH {TESTED}, e AS ({_table(['mae', 'rmse'])}) SELECT unique_id, metric, forecaster, round(value, 5) AS value FROM (UNPIVOT e ON naive, hist_avg, drift INTO NAME forecaster VALUE value)")
 def eval_long(spark, sf):
-    return rounded(evaluate.evaluate_long(tested(spark, sf)[0], _THREE, ["mae", "rmse"]), ["value"], 3)
+    return rounded(evaluate.evaluate_long(tested(spark, sf)[0], _THREE, ["mae", "rmse"]), ["value"], 5)
 
 
 @query(f"""WITH {TESTED}, d AS (SELECT unique_id, abs(y - lag(y, 7) OVER (PARTITION BY unique_id ORDER BY ds)) AS d FROM tr), s AS (SELECT unique_id, avg(d) AS s FROM d GROUP BY 1),
@@ -531,7 +531,7 @@ def anomaly_online_multi(spark, sf):
 
 SPEC = [["total"], ["total", "region"], ["total", "region", "nation"]]
 P5 = """b AS (SELECT 'all' AS total, r_name AS region, n_name AS nation, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS ds, round(sum(o_totalprice), 2) AS y
-    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 2, 3, 6)"""
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 2, 3, 4)"""
 _ALL = """h AS (SELECT 'all' AS unique_id, ds, sum(y) AS y, 'total' AS level FROM b GROUP BY ds UNION ALL SELECT 'all/' || region, ds, sum(y), 'total/region' FROM b GROUP BY region, ds
     UNION ALL SELECT 'all/' || region || '/' || nation, ds, sum(y), 'total/region/nation' FROM b GROUP BY region, nation, ds)"""
 
@@ -551,7 +551,7 @@ def _bottom(spark, sf):
     return own, own.select(F.concat_ws("/", "total", "region", "nation").alias("unique_id"), "ds", "y")
 
 
-_BOTTOM = "p AS (SELECT 'all/' || region || '/' || nation AS unique_id, region, ds, y FROM b), l AS (SELECT unique_id, region, max(ds) AS last, avg(y) AS m FROM p GROUP BY 1, 2), f AS (SELECT unique_id, region, last + to_months(CAST(k AS INTEGER)) AS ds, m FROM l, (SELECT unnest(range(1, 6)) AS k))"
+_BOTTOM = "p AS (SELECT 'all/' || region || '/' || nation AS unique_id, region, ds, y FROM b), l AS (SELECT unique_id, region, max(ds) AS last, avg(y) AS m FROM p GROUP BY 1, 2), f AS (SELECT unique_id, region, last + to_months(CAST(k AS INTEGER)) AS ds, m FROM l, (SELECT unnest(range(1, 4)) AS k))"
 
 
 @query(f"WITH {P5}, {_BOTTOM}, a AS (SELECT unnest(['all', 'all/' || region, unique_id]) AS unique_id, ds, m FROM f) SELECT unique_id, ds, round(sum(m), 1) AS hist_avg FROM a GROUP BY 1, 2")
@@ -560,7 +560,7 @@ def hier_bottom_up(spark, sf):
     return rounded(hierarchy.bottom_up(forecast.hist_avg(bottom, 3, MS), hierarchy.summing_edges(own, SPEC), "hist_avg"), ["hist_avg"], 1)
 
 
-@query(f"WITH {P5}, {_BOTTOM}, t AS (SELECT ds, sum(y) AS y FROM b GROUP BY 1), n AS (SELECT max(ds) AS last, max_by(y, ds) AS v FROM t), s AS (SELECT unique_id, sum(y) / (SELECT sum(y) FROM p) AS s FROM p GROUP BY 1) SELECT unique_id, last + to_months(CAST(k AS INTEGER)) AS ds, round(s * v, 1) AS naive FROM s, n, (SELECT unnest(range(1, 6)) AS k)")
+@query(f"WITH {P5}, {_BOTTOM}, t AS (SELECT ds, sum(y) AS y FROM b GROUP BY 1), n AS (SELECT max(ds) AS last, max_by(y, ds) AS v FROM t), s AS (SELECT unique_id, sum(y) / (SELECT sum(y) FROM p) AS s FROM p GROUP BY 1) SELECT unique_id, last + to_months(CAST(k AS INTEGER)) AS ds, round(s * v, 1) AS naive FROM s, n, (SELECT unnest(range(1, 4)) AS k)")
 def hier_top_down(spark, sf):
     own, bottom = _bottom(spark, sf)
     total = own.groupBy(F.lit("all").alias("unique_id"), "ds").agg(F.sum("y").alias("y"))
