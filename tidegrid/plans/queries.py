@@ -410,14 +410,14 @@ def _table(metrics: Sequence[str], by: str = "unique_id") -> str:
 
 for _n, _ms in (("eval_mae_mse_rmse", ["mae", "mse", "rmse"]), ("eval_mape_smape", ["mape", "smape", "bias"])):
 
-    @query(f"WITH {TESTED}, e AS ({_table(_ms)}) SELECT unique_id, metric, " + ", ".join(f"round({f}, 5) AS {f}" for f in _THREE) + " FROM e", _n)
+    @query(f"WITH {TESTED}, e AS ({_table(_ms)}) SELECT unique_id, metric, " + ", ".join(f"round({f}, 8) AS {f}" for f in _THREE) + " FROM e", _n)
     def _eval(spark, sf, ms=_ms):
-        return rounded(evaluate.evaluate(tested(spark, sf)[0], _THREE, ms, ["unique_id"]), _THREE, 5)
+        return rounded(evaluate.evaluate(tested(spark, sf)[0], _THREE, ms, ["unique_id"]), _THREE, 8)
 
 
-@query(f"WITH {TESTED}, e AS ({_table(['mae', 'rmse'])}) SELECT unique_id, metric, forecaster, round(value, 5) AS value FROM (UNPIVOT e ON naive, hist_avg, drift INTO NAME forecaster VALUE value)")
+@query(f"WITH {TESTED}, e AS ({_table(['mae', 'rmse'])}) SELECT unique_id, metric, forecaster, round(value, 8) AS value FROM (UNPIVOT e ON naive, hist_avg, drift INTO NAME forecaster VALUE value)")
 def eval_long(spark, sf):
-    return rounded(evaluate.evaluate_long(tested(spark, sf)[0], _THREE, ["mae", "rmse"]), ["value"], 5)
+    return rounded(evaluate.evaluate_long(tested(spark, sf)[0], _THREE, ["mae", "rmse"]), ["value"], 8)
 
 
 @query(f"""WITH {TESTED}, d AS (SELECT unique_id, abs(y - lag(y, 7) OVER (PARTITION BY unique_id ORDER BY ds)) AS d FROM tr), s AS (SELECT unique_id, avg(d) AS s FROM d GROUP BY 1),
