@@ -22,7 +22,7 @@ from tidegrid.llm.common import BROADCAST_BYTES, checked_broadcast, materialize
 
 LENGTH, GRAM = 400, 32
 #: Bytes that numpy takes in one step; segments of a group that one task sorts; bytes that are sorted at once.
-STEP, GROUP_ROWS, SORT_BYTES = 1 << 21, 16_384, 1 << 21
+STEP, GROUP_ROWS, SORT_BYTES = 1 << 18, 6_000, 1 << 19
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -48,7 +48,7 @@ class Rolling:
 
     def __init__(self, data: np.ndarray) -> None:
         if len(data) >= len(Rolling.powers):
-            n = max(1 << 16, 2 * len(data))
+            n = max(1 << 16, len(data) + len(data) // 4)
             Rolling.powers, Rolling.inverses = _powers(_ODD, n), _powers(_INVERSE, n)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_TABLE[data] * Rolling.powers[: len(data)], out=self.sums[1:])
@@ -106,11 +106,13 @@ def _types(data: np.ndarray) -> np.ndarray:
 
 def _direct(data: np.ndarray, places: np.ndarray, length: int, hashes: np.ndarray) -> np.ndarray:
     """places in the order of the first `length` bytes of their suffixes, ties by place."""
-    words = np.zeros(len(data), np.uint64)
-    for j in range(min(8, len(data))):
-        words[: len(data) - j] |= data[j:].astype(np.uint64) << np.uint64(56 - 8 * j)
-    order = places[np.argsort(words[places], kind="stable")]
-    key, full = words[order], hashes[order]
+    key = np.zeros(len(places), np.uint64)
+    for j in range(8):
+        at = np.minimum(places + j, len(data) - 1)
+        key |= np.where(places + j < len(data), data[at], 0).astype(np.uint64) << np.uint64(56 - 8 * j)
+    by = np.argsort(key, kind="stable")
+    order, key = places[by], key[by]
+    full = hashes[order]
     edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     same = np.append(full[1:] == full[:-1], True)
     broken = np.concatenate(([0], np.cumsum(~same)))
@@ -319,6 +321,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     return both.mapInArrow(_merge, "tid long, starts array<long>, ends array<long>")
 
 
+def _cut(batches: Iterator[pa.RecordBatch], n: int, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The first n columns, and what stays of the text in column n outside the spans in the two behind it."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            out: list[tuple] = []
+            for t, s, e in zip(batch.column(n), batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True):
+                raw = buffer.to_pybytes() if (buffer := t.as_buffer()) is not None else b""
+                kept = b"".join(raw[a:b] for a, b in zip([0, *e], [*s, len(raw)], strict=True)) if s else raw
+                out.append((kept, len(raw), len(raw) - len(kept), len(s or ())))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=[f"c{i}" for i in range(n)] + ["kept", "n_bytes", "n_removed", "n_spans"])
+
+
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, **how) -> DataFrame:
     """docs with kept (binary: the UTF-8 bytes that stay), n_bytes, n_removed and n_spans; null texts count as empty.
 
@@ -329,19 +346,9 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     spans = materialize(repeated_spans(named, text, length, **how), "suffix-spans")
     met = named.join(checked_broadcast(spans, 96), "tid", "left")
 
-    @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long")
-    def cut(texts, starts, ends):
-        import pandas as pd
-
-        rows = []
-        for t, s, e in zip(texts, starts, ends, strict=True):
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            if s is None or not len(s):
-                rows.append((raw, len(raw), 0, 0))
-                continue
-            kept = b"".join(raw[a:b] for a, b in zip([0, *e], [*s, len(raw)], strict=True))
-            rows.append((kept, len(raw), len(raw) - len(kept), len(s)))
-        return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
-
-    met = met.withColumn("__cut", cut(F.col(text), "starts", "ends"))
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns], "__cut.*")
+    fields = [*docs.columns, text, "starts", "ends"]
+    flat = met.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(fields)])
+    n = len(docs.columns)
+    schema = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(flat.dtypes[:n])) + ", kept binary, n_bytes long, n_removed long, n_spans long"
+    out = flat.mapInArrow(lambda it: _cut(it, n), schema)
+    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(docs.columns)})
