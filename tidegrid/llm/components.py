@@ -10,24 +10,32 @@ from tidegrid.llm.common import materialize
 
 
 def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (member, smallest member) with the same components as the edges x-y; works on one bounded bucket."""
+    """Those of the edges x-y that are enough to connect what they connect; works on one bounded bucket (Boruvka's algorithm)."""
     if not len(x):
         return x, y
     nodes, ids = np.unique(np.concatenate((x, y)), return_inverse=True)
     a, b = ids[: len(x)], ids[len(x) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while (jump := new[new]).tobytes() != new.tobytes():
-            new = jump
-        if (new == root).all():
-            break
-        root = new
-    own = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[own], nodes[root[own]]
+    root, chosen = np.arange(len(nodes)), []
+    while len(open_ := np.flatnonzero(root[a] != root[b])):
+        first = np.full(len(nodes), len(a))  # the first edge that leaves each component
+        np.minimum.at(first, root[a[open_]], open_)
+        np.minimum.at(first, root[b[open_]], open_)
+        took = np.unique(first[first < len(a)])
+        chosen.append(took)
+        u, v = root[a[took]], root[b[took]]
+        hook = np.arange(len(nodes))
+        while True:
+            low = np.minimum(hook[u], hook[v])
+            new = hook.copy()
+            np.minimum.at(new, hook[u], low)
+            np.minimum.at(new, hook[v], low)
+            new = new[new]
+            if (new == hook).all():
+                break
+            hook = new
+        root = hook[root]
+    own = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
+    return x[own], y[own]
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
