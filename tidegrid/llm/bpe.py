@@ -19,8 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import small_batches
+
 #: Distinct fragments that a worker remembers, and the longest of them in characters.
-CACHE_ROWS, CACHE_CHARS = 200_000, 48
+CACHE_ROWS, CACHE_CHARS = 100_000, 48
 
 
 #: How byte-level tokenizers split a text into words.
@@ -121,6 +123,7 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", into: str = "i
         own = coder(path)
         return pd.Series([np.frombuffer(own.encode(t), "<i4") for t in texts], dtype=object)
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(into, encode(F.col(text)))
 
 
@@ -132,4 +135,5 @@ def decode_column(docs: DataFrame, path: str, ids: str = "ids", into: str = "dec
         own = coder(path)
         return pd.Series([own.decode(np.asarray([] if r is None else r, "<u4").tobytes()) for r in rows], dtype=object)
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(into, decode(F.col(ids)))

@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lets Arrow batches to Python hold that many rows, unless the session has a value of its own: rows are whole texts, and a batch is held by the JVM and by the worker at once."""
+    key, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: the lineage ends there, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -31,6 +31,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
     marked = base.withColumn("__head", F.xxhash64(F.substring("__norm", 1, PREFIX_CHARS))).join(checked_broadcast(heads, 32), ["__len", "__head"], "left")
     hashed = materialize(marked.select("__key", "__carry", F.when(F.col("__open"), F.sha2(F.col("__norm").cast("binary"), 256)).alias("__full")), "dedup-hashes")
     groups = hashed.filter("__full is not null").groupBy("__full").agg(F.min("__key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(groups, "dedup-groups")  # joined as a table, so that a hot group can be split
     met = hashed.join(groups, "__full").select("__key", "__carry", "keep_id", "group_size")
     alone = hashed.filter("__full is null").select("__key", "__carry", F.col("__key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     out = met.unionByName(alone).withColumn("kept", F.col("__key").eqNullSafe(F.col("keep_id")))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import checked_broadcast, materialize
+from tidegrid.llm.common import checked_broadcast, materialize, small_batches
 
 #: Bytes of a window, units of a direction, windows in one pass, and the code of the padding behind a text's end.
 STEPS, UNITS, COLUMNS, PAD = 64, 8, 2048, 0
@@ -213,4 +213,5 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", int
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(model.predict(texts.tolist()), columns=["lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(into, predict(F.col(text)))

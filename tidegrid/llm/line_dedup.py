@@ -55,4 +55,4 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", site: str = "source", text:
     n_lines, n_cut = F.size(_lines(F.col(text))).cast("long"), F.size(F.filter("__cut", lambda x: x)).cast("long")
     met = met.withColumn("__n", n_lines).withColumn("__m", F.when(F.col("__cut").isNull(), F.lit(0).cast("long")).otherwise(n_cut))
     met = met.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(kept))
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__n").alias("n_lines"), F.col("__m").alias("n_removed"))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")], F.col("__n").alias("n_lines"), F.col("__m").alias("n_removed"))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import checked_broadcast, materialize
+from tidegrid.llm.common import checked_broadcast, materialize, small_batches
 from tidegrid.llm.components import connected_components
 from tidegrid.llm.simhash import SEED, close_links, fingerprint, normal_bytes, shingle_bounds
 
@@ -104,6 +104,7 @@ def near_groups(docs: DataFrame, n: int = 5, least: float = 0.8, distance: int =
     fingerprints are within `distance` bits or a band of their min-hashes is equal, and their Jaccard similarity is
     `least` or more. In a bucket of equal bands all are compared with two of its members, drawn anew in each round
     from those that no link has joined to a group yet, so that the comparisons stay in proportion to the rows."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("key is not null")
     signed = materialize(own.mapInArrow(lambda it: _sign(it, n), "key long, sid long, fp long, bands array<long>"), "near-signed")
     sets = materialize(signed.groupBy("sid").agg(F.min("key").alias("head"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-sets")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import bpe, chat, langid, mixing, toxicity, topk
-from tidegrid.llm.common import load, normalised
+from tidegrid.llm.common import load, normalised, small_batches
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.line_dedup import line_dedup
 from tidegrid.llm.simhash import simhash_groups
@@ -46,6 +46,7 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str = TOKENIZER)
             n, ids, texts = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], schema=schema)
 
+    small_batches(spark)
     return load(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import materialize
+from tidegrid.llm.common import materialize, small_batches
 from tidegrid.llm.components import connected_components, forest
 
 SEED = 42
@@ -66,6 +66,7 @@ def with_fingerprint(docs: DataFrame, n: int = 4, text: str = "text", into: str
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64))
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(into, prints(F.col(text)))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import BROADCAST_BYTES, checked_broadcast, materialize
+from tidegrid.llm.common import BROADCAST_BYTES, checked_broadcast, materialize, small_batches
 
 LENGTH, GRAM = 400, 32
 #: Bytes that numpy takes in one step; segments of a group that one task sorts; bytes that are sorted at once.
@@ -296,16 +296,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     own = docs.select("tid", F.col(text).alias("text"))
     found = materialize(own.mapInArrow(lambda it: _find(it, length, gram), "tid long, s long, e long, ah long, uh long"), "suffix-segments")
     shared = found.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("uh").alias("lo"), F.max("uh").alias("hi")).filter("n > 1")
-    met = materialize(found.join(shared.select("ah", (F.col("lo") != F.col("hi")).alias("mixed")), "ah"), "suffix-shared")
+    shared = materialize(shared.select("ah", (F.col("lo") != F.col("hi")).alias("mixed")), "suffix-anchors")  # joined as a table, so that hot anchors can be split
+    met = materialize(found.join(shared, "ah"), "suffix-shared")
     texts = met.groupBy("ah", "uh").agg(F.count(F.lit(1)).alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("tid", "s", "e")).alias("one"))
     texts = materialize(texts, "suffix-texts")
     whole = met.join(texts.filter("n > 1").select("ah", "uh"), ["ah", "uh"]).select("tid", F.col("s").alias("a"), (F.col("e") + length).alias("b"))
 
     asked = texts.filter("mixed").select("ah", (F.col("n") == 1).alias("alone"), "one.*")
+    asked = materialize(asked, "suffix-candidates")
     sizes = asked.groupBy("ah").agg(F.count(F.lit(1)).alias("m"), F.max("alone").alias("open")).filter("open")
+    sizes = materialize(sizes, "suffix-groups")
     asked = materialize(asked.join(sizes, "ah"), "suffix-asked")
     per_text = asked.groupBy("tid").agg(F.collect_list(F.struct("ah", "s", "e", "alone")).alias("own"))
-    parts = own.join(F.broadcast(per_text) if 48 * asked.count() <= BROADCAST_BYTES else per_text, "tid")
+    parts = own.join(F.broadcast(per_text) if 128 * asked.count() <= BROADCAST_BYTES else per_text, "tid")
     parts = parts.mapInArrow(lambda it: _cut_out(it, length), "ah long, tid long, s long, alone boolean, part binary")
     large = asked.filter(F.col("m") > group_rows).select("ah").distinct()
     some = bool(large.limit(1).count())
@@ -340,15 +343,15 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """docs with kept (binary: the UTF-8 bytes that stay), n_bytes, n_removed and n_spans; null texts count as empty.
 
     Removed is each byte under a string of `length` bytes that also starts elsewhere in the table, the same text
-    included; all copies lose it. Rows that repeat a key and text are two places of one text, so they lose all but
-    what is shorter than `length`. Extra columns pass through."""
-    named = docs.withColumn("tid", F.xxhash64(F.col(key), F.col(text)))
-    spans = materialize(repeated_spans(named, text, length, **how), "suffix-spans")
-    met = named.join(checked_broadcast(spans, 96), "tid", "left")
-
-    fields = [*docs.columns, text, "starts", "ends"]
-    flat = met.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(fields)])
+    included; all copies lose it. Extra columns pass through, but for ones with the results' names. Rows that repeat a key and text are two places of one text, so they lose all but
+    what is shorter than `length`."""
+    small_batches(docs.sparkSession)
     n = len(docs.columns)
-    schema = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(flat.dtypes[:n])) + ", kept binary, n_bytes long, n_removed long, n_spans long"
-    out = flat.mapInArrow(lambda it: _cut(it, n), schema)
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(docs.columns)})
+    # columns get names of their own, whatever the table calls its own
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("tid"))
+    spans = materialize(repeated_spans(named.select("tid", "text"), "text", length, **how), "suffix-spans")
+    met = named.join(checked_broadcast(spans, 96), "tid", "left").select(*[f"c{i}" for i in range(n)], "text", "starts", "ends")
+    schema = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(met.dtypes[:n])) + ", kept binary, n_bytes long, n_removed long, n_spans long"
+    out = met.mapInArrow(lambda it: _cut(it, n), schema)
+    new = ("kept", "n_bytes", "n_removed", "n_spans")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in new], *new)

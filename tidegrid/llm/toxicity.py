@@ -12,19 +12,20 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from sys import intern
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import checked_broadcast, materialize
+from tidegrid.llm.common import checked_broadcast, materialize, small_batches
 
 _WORDS = re.compile(r"\w+")
 #: Tokens that are decoded as one chain, and tokens in one numpy step.
 CHAIN, STEP = 64, 1 << 18
 #: Labelled documents of each class that training reads at most.
-SAMPLE = 2000
+SAMPLE = 1500
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -132,10 +133,10 @@ def lexicon(texts: Sequence[list[str]], toxic: np.ndarray, least: int = 4, share
         if not y:
             outside.update(set(words))
             continue
-        around = set(zip(["", *words], words, [*words[1:], ""], strict=False))
-        copied = {k[1] for k in around & met}
+        around = {hash(k): k[1] for k in zip(["", *words], words, [*words[1:], ""], strict=False)}
+        copied = {w for k, w in around.items() if k in met}
         inside.update(set(words) - copied)
-        met |= around
+        met.update(around)
     n, m = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     return {w for w, k in inside.items() if k >= max(least, share * n) and k / n > odds * (outside[w] + 1) / m}
 
@@ -143,14 +144,15 @@ def lexicon(texts: Sequence[list[str]], toxic: np.ndarray, least: int = 4, share
 def train(texts: Sequence[str | None], toxic: Sequence[int], words: int = 20_000, rounds: int = 40, seed: int = 5) -> ToxicityModel:
     """A model from whole texts and their labels; without any toxic or any clean text, one whose scores are all the same side."""
     y = np.asarray(toxic, np.int64)
-    split = [_WORDS.findall((t or "").lower()) for t in texts]
+    split = [[intern(w) for w in _WORDS.findall((t or "").lower())] for t in texts]  # one string for each word
     bad = lexicon(split, y)
     seen = Counter(w for s in split for w in set(s))
     common = [w for w, k in sorted(seen.items(), key=lambda x: (x[0] not in bad, -x[1], x[0])) if k >= 2 or w in bad][:words]
     vocabulary = {w: i + 1 for i, w in enumerate(common)}
     model = ToxicityModel(vocabulary, np.zeros((3, len(vocabulary) + 1)), np.zeros((2, 2)), -3.0)
     model.weights[0] = -1.0
-    ids = [model.ids(t) for t in texts]
+    ids = [np.array([vocabulary.get(w, 0) for w in words], np.int32) for words in split]
+    del split, seen
     lengths = np.array([len(x) for x in ids], np.int64)
     if bad and lengths.sum():
         marks = np.zeros(len(vocabulary) + 1, bool)
@@ -239,6 +241,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", int
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(texts.tolist()))
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(into, score(F.col(text)))
 
 
@@ -249,4 +252,5 @@ def with_toxic_spans(docs: DataFrame, model: ToxicityModel, text: str = "text",
     def spans(texts: pd.Series) -> pd.Series:
         return pd.Series([[list(s) for s in model.spans(t)] for t in texts], dtype=object)
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(into, spans(F.col(text)))
