@@ -128,8 +128,8 @@ class LanguageModel:
         return out
 
 
-def train(texts: Sequence[str], languages: Sequence[str], rounds: int = 4, batch: int = 128, rate: float = 0.02, seed: int = 3) -> LanguageModel:
-    """A model from texts and their languages; the same ones give the same model."""
+def train(texts: Sequence[str], languages: Sequence[str], steps: int = 250, batch: int = 128, rate: float = 0.02, seed: int = 3) -> LanguageModel:
+    """A model from texts and their languages, by as many steps of descent however few the texts are; the same ones give the same model."""
     rng = np.random.default_rng(seed)
     names = sorted(set(languages))
     small = lambda *shape: rng.normal(0, 0.3, shape)
@@ -142,7 +142,7 @@ def train(texts: Sequence[str], languages: Sequence[str], rounds: int = 4, batch
         rows.append(w)
         marks += [names.index(language)] * len(w)
     if len(names) > 1:
-        _descend(model, np.concatenate(rows), np.array(marks), rounds, batch, rate, rng)
+        _descend(model, np.concatenate(rows), np.array(marks), steps, batch, rate, rng)
     for way in model.ways:
         way.inputs, way.states = way.inputs.astype(np.float32), way.states.astype(np.float32)
     model.labels, model.bias = model.labels.astype(np.float32), model.bias.astype(np.float32)
@@ -172,23 +172,21 @@ def parameters(model: LanguageModel) -> list[np.ndarray]:
     return [model.ways[0].inputs, model.ways[0].states, model.ways[1].inputs, model.ways[1].states, model.labels, model.bias]
 
 
-def _descend(model: LanguageModel, rows: np.ndarray, marks: np.ndarray, rounds: int, batch: int, rate: float, rng: np.random.Generator) -> None:
-    own = parameters(model)
-    first, second, k = [np.zeros_like(w) for w in own], [np.zeros_like(w) for w in own], 0
-    total = rounds * -(-len(rows) // batch)
-    for _ in range(rounds):
-        order = rng.permutation(len(rows))
-        for cut in range(0, len(order), batch):
-            pick = order[cut : cut + batch]
-            _, grads = gradients(model, np.ascontiguousarray(rows[pick].T), marks[pick])
-            norm = np.sqrt(sum((g**2).sum() for g in grads))
-            k += 1
-            pace = rate * (1 - 0.9 * k / total)
-            for w, g, a, b in zip(own, grads, first, second, strict=True):
-                g = g * min(1, 1 / max(norm, 1e-12))
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                w -= pace * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.99**k)) + 1e-8)
+def _descend(model: LanguageModel, rows: np.ndarray, marks: np.ndarray, steps: int, batch: int, rate: float, rng: np.random.Generator) -> None:
+    own, order = parameters(model), np.empty(0, np.int64)
+    first, second = [np.zeros_like(w) for w in own], [np.zeros_like(w) for w in own]
+    for k in range(1, steps + 1):
+        if len(order) < batch:
+            order = np.concatenate((order, rng.permutation(len(rows))))
+        pick, order = order[:batch], order[batch:]
+        _, grads = gradients(model, np.ascontiguousarray(rows[pick].T), marks[pick])
+        norm = np.sqrt(sum((g**2).sum() for g in grads))
+        pace = rate * (1 - 0.9 * k / steps)
+        for w, g, a, b in zip(own, grads, first, second, strict=True):
+            g = g * min(1, 1 / max(norm, 1e-12))
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            w -= pace * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.99**k)) + 1e-8)
 
 
 def held_out(key: Column) -> Column:
