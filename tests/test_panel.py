@@ -2,13 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions.freq import freq
-from tidegrid.functions.quantiles import levels_of
-from tidegrid.operators import anomaly, audit, forecast, grid, hierarchy, panel, recursive, validation
-from tidegrid.plans import api
+from tidegrid.functions.quantiles import levels_of, z_of
+from tidegrid.operators import anomaly, audit, forecast, grid, hierarchy, models, panel, recursive, validation
+from tidegrid.plans import api, arena
 from tidegrid.sources import tables
 
 
@@ -176,6 +177,44 @@ def test_sources(spark, tmp_path):
         tables.single_value(df, "id")
 
 
+def test_fitted_models():
+    y = np.array([0, 0, 4, 0, 0, 4, 0, 0, 4.0])
+    assert models.fit_croston_optimized(y, 2) == pytest.approx([4 / 3] * 2) and not models.fit_croston_optimized(y * 0, 2).any()
+    assert models.fit_imapa(y, 1) == pytest.approx(np.mean([models.best_ses(y), models.best_ses(y[1:].reshape(-1, 2).sum(1)) / 2, 4 / 3]))
+    t = np.arange(84)
+    assert models.fit_ets(5 + 2.0 * t + 10 * np.sin(2 * np.pi * t / 7), 7, 7) == pytest.approx(5 + 2.0 * (84 + np.arange(7)) + 10 * np.sin(2 * np.pi * (84 + np.arange(7)) / 7), abs=1.5)
+    v = [10.0, 12.0]
+    for _ in range(60):
+        v.append(3 + 1.2 * v[-1] - 0.5 * v[-2])
+    assert models.fit_ar(np.array(v[:40]), 5) == pytest.approx(v[40:45], abs=1e-3)
+    for fit in (models.fit_ets, models.fit_ar, models.fit_imapa, models.fit_croston_optimized):
+        assert np.isfinite(fit(np.array([3.0]), 4)).all() and np.isfinite(fit(np.array([3.0, 3.0, 3.0]), 4)).all()
+
+
+def test_regression(spark):
+    rows = [("a", d, float(3 + 2 * d + (5 if d % 3 == 0 else 0)), float(d), "red" if d % 3 == 0 else "blue") for d in range(20)] + [("b", d, 1.0, 7.0, "blue") for d in range(20)]
+    df = spark.createDataFrame(rows, "unique_id string, ds long, y double, x double, c string")
+    future = spark.createDataFrame([("a", 20, 20.0, "blue"), ("a", 21, 21.0, "red"), ("b", 20, 9.0, "red")], "unique_id string, ds long, x double, c string")
+    got = {(r["unique_id"], r["ds"]): r["lm"] for r in api.forecast_panel(df, 2, 1, "lm", future=future, categorical=["c"]).collect()}
+    assert got == pytest.approx({("a", 20): 43.0, ("a", 21): 50.0, ("b", 20): 1.0})
+    parts = models.regression(df, future, ["x"]).collect()
+    assert all(r["regression"] == pytest.approx(r["x"] + r["base_value"]) for r in parts)
+    cv = api.cross_validation(df.drop("c").withColumn("y", 2 * F.col("x")), 3, 1, n_windows=2, exog=["x"]).collect()
+    assert len(cv) == 12 and all(r["seasonal_naive"] == pytest.approx(r["y"]) for r in cv)
+    with pytest.raises(ValueError, match="no covariate"):
+        api.forecast_panel(df, 2, 1, "lm", future=future.select("unique_id", "ds"))
+
+
+def test_normal_ensemble_and_plot_rows(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, 4.0, 3.0, 4.0)], "unique_id string, ds long, m1 double, m2 double, s1 double, s2 double")
+    r = models.ensemble_normal(df, {"m1": "s1", "m2": "s2"}, [80]).first()
+    assert r["ensemble"] == 3 and r["ensemble-hi-80"] - 3 == pytest.approx(2.5 * z_of(80)) and r["ensemble-lo-80"] < 3
+    past = make(spark, {f"s{i}": [1, 2, 3] for i in range(5)})
+    ahead = forecast.naive(past, 2, freq("D"))
+    out = arena.plot_rows(past, ahead, ["naive"], series=2, tail=2).collect()
+    assert len({x["unique_id"] for x in out}) == 2 and sum(x["what"] == "y" for x in out) == 4 and sum(x["what"] == "naive" for x in out) == 4
+
+
 def test_registry_and_jobs(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.forecast import exogenous
+from tidegrid.operators.models import regression
 from tidegrid.operators.panel import ROLES, Roles
 
 
@@ -16,6 +17,11 @@ def contributions(df: DataFrame, future: DataFrame, x: str, roles: Roles = ROLES
     return to_long(exogenous(df, future, x, roles, name), [x, "base_value"], [roles.id, roles.time, name])
 
 
+def contributions_of(df: DataFrame, future: DataFrame, xs: Sequence[str], roles: Roles = ROLES, name: str = "regression") -> DataFrame:
+    """The same for a regression on several covariates."""
+    return to_long(regression(df, future, xs, roles, name), [*xs, "base_value"], [roles.id, roles.time, name])
+
+
 def to_long(wide: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     return wide.unpivot(list(keys), list(features), "feature", "contribution")
 

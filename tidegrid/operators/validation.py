@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.operators.models import regression
 from tidegrid.operators.panel import ROLES, Roles, with_positions
 
 
@@ -55,3 +58,14 @@ def train_test_cv(df: DataFrame, fit, h: int, n_windows: int = 1, step: int | No
     values = [c for c in out.columns if c not in (roles.id, roles.time)]
     out = out.select(F.col(f"{roles.id}.id").alias(roles.id), roles.time, F.col(f"{roles.id}.cutoff").alias("cutoff"), *values)
     return out.join(df.select(roles.id, roles.time, roles.target), [roles.id, roles.time])
+
+
+def regression_cv(df: DataFrame, xs: Sequence[str], h: int, n_windows: int = 1, step: int | None = None, roles: Roles = ROLES, name: str = "regression") -> DataFrame:
+    """(id, time, cutoff, y, name, k): each window's least squares on covariates that are known ahead, learned from what precedes its cutoff."""
+    key = F.struct(F.col(roles.id).alias("id"), "cutoff")
+    cuts = cutoffs(df, h, n_windows, step, roles).select(roles.id, "cutoff")
+    train = df.join(cuts, roles.id).filter(F.col(roles.time) <= F.col("cutoff")).withColumn(roles.id, key)
+    tested = windows(df, h, n_windows, step, roles)
+    ahead = regression(train, tested.withColumn(roles.id, key), xs, roles, name)
+    ahead = ahead.select(F.col(f"{roles.id}.id").alias(roles.id), F.col(f"{roles.id}.cutoff").alias("cutoff"), roles.time, name)
+    return tested.select(roles.id, roles.time, "cutoff", roles.target, "k").join(ahead, [roles.id, roles.time, "cutoff"]).select(roles.id, roles.time, "cutoff", roles.target, name, "k")

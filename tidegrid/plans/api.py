@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions import calendar
 from tidegrid.functions.freq import Freq, freq
 from tidegrid.functions.quantiles import levels_of
-from tidegrid.operators import anomaly, audit, evaluate, forecast, grid, intervals, validation
+from tidegrid.operators import anomaly, audit, evaluate, forecast, grid, intervals, models, validation
 from tidegrid.operators.panel import ROLES, Roles, check_schema, infer_frequency, single_series
 from tidegrid.operators.recursive import adida, smoothing, theta
 
@@ -21,7 +21,7 @@ _RECURSIVE: dict[str, Callable[..., DataFrame]] = {
     "ses": lambda d, h, s, r, **k: smoothing(d, h, s, "ses", roles=r, **k), "croston": lambda d, h, s, r, **k: smoothing(d, h, s, "croston", roles=r, **k),
     "tsb": lambda d, h, s, r, **k: smoothing(d, h, s, "tsb", roles=r, **k), "adida": lambda d, h, s, r, **k: adida(d, h, s, roles=r, **k), "theta": lambda d, h, s, r, **k: theta(d, h, s, r, **k),
 }
-MODELS = {**forecast.STRATEGIES, **_RECURSIVE}
+MODELS = {**forecast.STRATEGIES, **_RECURSIVE, **models.MODELS}
 
 
 def check_parameters(parameters: Mapping | None) -> dict:
@@ -55,21 +55,24 @@ def exogenous_roles(columns: Sequence[str], future: Sequence[str] | None, hist:
     return ahead, hist
 
 
-def forecast_panel(df: DataFrame, h: int, step: str | int | None = None, model: str = "seasonal_naive", future: DataFrame | None = None, level: Sequence[float] | None = None, quantiles: Sequence[float] | None = None, add_history: bool = False, calibration_windows: int = 3, season: int | None = None, parameters: Mapping | None = None, validate: bool = True, roles: Roles = ROLES) -> DataFrame:
+def forecast_panel(df: DataFrame, h: int, step: str | int | None = None, model: str = "seasonal_naive", future: DataFrame | None = None, level: Sequence[float] | None = None, quantiles: Sequence[float] | None = None, add_history: bool = False, calibration_windows: int = 3, season: int | None = None, parameters: Mapping | None = None, hist: Sequence[str] | None = None, categorical: Sequence[str] = (), validate: bool = True, roles: Roles = ROLES) -> DataFrame:
     """(id, time, model, intervals…): h steps behind each series' end.
 
     Intervals are conformal: percentiles of the errors that the seasonal model makes in rolling windows, step by step.
-    With a future frame of one covariate the model is least squares on it."""
+    With a future frame the model is least squares on its covariates; categorical ones become a 0/1 column for each category
+    of either frame. What `hist` names is known for the past alone and takes no part."""
     levels = levels_of(level, quantiles)
     alone = roles.id not in df.columns
     df, own = _ready(df, step, roles, validate)
     season = season or own.season
     how = check_parameters(parameters)
     if future is not None:
-        ahead, _ = exogenous_roles(df.columns, future.columns, None, roles)
-        if len(ahead) != 1:
-            raise ValueError("give one covariate")
-        out = forecast.exogenous(df, single_series(future, roles), ahead[0], roles, model).select(roles.id, roles.time, model)
+        ahead, _ = exogenous_roles(df.columns, future.columns, hist, roles)
+        if not ahead:
+            raise ValueError("the future frame has no covariate")
+        past, future, coded = models.encode_categories(df, single_series(future, roles), [c for c in ahead if c in categorical])
+        xs = [*(c for c in ahead if c not in categorical), *coded]
+        out = models.regression(past, future, xs, roles, model, **how).select(roles.id, roles.time, model)
     elif model == "seasonal_naive":
         out = forecast.seasonal_naive(df, h, own, roles, season=season)
     elif model in MODELS:
@@ -89,10 +92,12 @@ def forecast_panel(df: DataFrame, h: int, step: str | int | None = None, model:
     return out.drop(roles.id) if alone else out
 
 
-def cross_validation(df: DataFrame, h: int, step: str | int | None = None, n_windows: int = 1, step_size: int | None = None, model: str = "seasonal_naive", season: int | None = None, level: Sequence[float] | None = None, validate: bool = True, roles: Roles = ROLES) -> DataFrame:
-    """(id, time, y, model, cutoff, intervals…): forecasts of rolling windows beside the actual values."""
+def cross_validation(df: DataFrame, h: int, step: str | int | None = None, n_windows: int = 1, step_size: int | None = None, model: str = "seasonal_naive", season: int | None = None, level: Sequence[float] | None = None, exog: Sequence[str] = (), validate: bool = True, roles: Roles = ROLES) -> DataFrame:
+    """(id, time, y, model, cutoff, intervals…): forecasts of rolling windows beside the actual values; with `exog` by least squares on these columns."""
     df, own = _ready(df, step, roles, validate)
-    if model == "seasonal_naive":
+    if exog:
+        out = validation.regression_cv(df, exog, h, n_windows, step_size, roles, model)
+    elif model == "seasonal_naive":
         out = validation.seasonal_cv(df, h, season or own.season, n_windows, step_size, roles, model)
     else:
         out = validation.train_test_cv(df, lambda d: MODELS[model](d, h, own, roles), h, n_windows, step_size, roles)

@@ -15,7 +15,8 @@ from tidegrid.functions import calendar as C
 from tidegrid.functions import metrics as M
 from tidegrid.functions.freq import freq
 from tidegrid.functions.quantiles import z_of
-from tidegrid.operators import anomaly, audit, evaluate, explain, forecast, grid, hierarchy, intervals, panel, recursive, validation
+from tidegrid.operators import anomaly, audit, evaluate, explain, forecast, grid, hierarchy, intervals, models, panel, recursive, validation
+from tidegrid.plans import arena
 from tidegrid.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,6 +358,37 @@ def theta(spark, sf):
     return rounded(recursive.theta(p2(spark, sf), 7, D), ["theta"])
 
 
+for _m in models.MODELS:
+
+    @query(name=_m)
+    def _fitted(spark, sf, m=_m):
+        return rounded(models.MODELS[m](zeros(spark, sf), 7, D), [m])
+
+
+def _two(spark, sf):
+    return tuple(d.withColumn("q", F.quarter("ds").cast("double")) for d in _exog(spark, sf))
+
+
+_REGRESSION = f"""{P3}, z AS (SELECT *, CAST(quarter(ds) AS DOUBLE) AS q FROM p), m AS (SELECT unique_id, avg(y) AS ym, avg(x) AS xm, avg(q) AS qm, var_pop(x) AS a, covar_pop(x, q) AS b, var_pop(q) AS c,
+    covar_pop(x, y) AS d, covar_pop(q, y) AS e, max(ds) AS last, max_by(x, ds) AS lx FROM z GROUP BY 1), k AS (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS k),
+    s AS (SELECT unique_id, last + to_months(k) AS ds, ym, (d * c - e * b) / (a * c - b * b) * (lx + k - xm) AS x, (e * a - d * b) / (a * c - b * b) * (quarter(last + to_months(k)) - qm) AS q FROM m, k)"""
+
+
+@query(f"WITH {_REGRESSION} SELECT unique_id, ds, round(ym + x + q, 1) AS regression FROM s")
+def fc_regression(spark, sf):
+    return rounded(models.regression(*_two(spark, sf), ["x", "q"]), ["regression"], 1).select("unique_id", "ds", "regression")
+
+
+@query(f"WITH {_REGRESSION} SELECT unique_id, ds, round(ym + x + q, 1) AS regression, feature, round(v, 1) AS contribution FROM s, LATERAL (SELECT unnest(['x', 'q', 'base_value']) AS feature, unnest([x, q, ym]) AS v)")
+def explain_regression(spark, sf):
+    return rounded(explain.contributions_of(*_two(spark, sf), ["x", "q"]), ["regression", "contribution"], 1)
+
+
+@query("SELECT 'series_' || CAST(s + 1 AS VARCHAR) AS unique_id, TIMESTAMP '2020-01-01' + to_days(CAST(i AS INTEGER)) AS ds, round(100 + 0.1::DOUBLE * i + 10 * sin(2 * pi() * i / 7 + s) + CASE WHEN i = 30 THEN 50 ELSE 0 END, 6) AS y FROM range(5) a(s), range(60) b(i)")
+def synthetic_series(spark, sf):
+    return rounded(tables.synthetic_panel(spark, 5, 60, D, spikes={30: 50}), ["y"])
+
+
 # ---- cross-validation and accuracy -------------------------------------------------------------------------------
 
 
@@ -460,6 +492,11 @@ def best_model_argmin(spark, sf):
     return rounded(evaluate.best_model(evaluate.evaluate(tested(spark, sf)[0], _THREE, ["mae"], ["unique_id"]), _THREE, ["unique_id"]), ["value"])
 
 
+@query(f"WITH {TESTED} " + " UNION ALL ".join(f"SELECT 'users' AS dataset, '{f}' AS forecaster, round(avg(abs(y - {f})), 6) AS mae, round(sqrt(avg((y - {f}) ** 2)), 6) AS rmse FROM t" for f in _THREE))
+def arena_report(spark, sf):
+    return rounded(arena.compete({"users": (p2(spark, sf), "D")}, _THREE, 7), ["mae", "rmse"])
+
+
 @query(f"WITH {TESTED} SELECT unique_id, ds, round((naive + hist_avg + drift) / 3, 6) AS ensemble FROM t")
 def ensemble_mean(spark, sf):
     return rounded(forecast.ensemble(tested(spark, sf)[0], _THREE), ["ensemble"]).select("unique_id", "ds", "ensemble")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,18 @@ def arrays_to_long(df: DataFrame, step: Freq, start: str = "start", target: str
     return rows.select(id, step.add(F.col("__s"), F.col("__i")).alias("ds"), "y")
 
 
+def synthetic_panel(spark: SparkSession, series: int, n: int, step: Freq, start: str = "2020-01-01", base: float = 100.0, trend: float = 0.1, amplitude: float = 10.0, season: int = 7, noise: float = 0.0, spikes: Mapping[int, float] | None = None, seed: int = 0) -> DataFrame:
+    """(unique_id, ds, y): trend, a wave of one season, normal noise and shifts at given positions (from 0). Noise comes from hashes, so that partitions don't matter."""
+    rows = spark.range(series * n).select(F.floor(F.col("id") / n).alias("s"), (F.col("id") % n).alias("i"))
+    y = base + trend * F.col("i") + amplitude * F.sin(2 * math.pi * F.col("i") / season + F.col("s"))
+    if noise:
+        u, v = ((F.shiftrightunsigned(F.xxhash64("s", "i", F.lit(seed), F.lit(k)), 11) + 0.5) / float(1 << 53) for k in (1, 2))
+        y += noise * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+    for at, shift in (spikes or {}).items():
+        y += F.when(F.col("i") == at, float(shift)).otherwise(0.0)
+    return rows.select(F.concat(F.lit("series_"), (F.col("s") + 1).cast("string")).alias("unique_id"), step.add(F.lit(start).cast("timestamp_ntz"), F.col("i")).alias("ds"), y.alias("y"))
+
+
 def single_value(df: DataFrame, column: str):
     """The one value that a column holds, or an error."""
     n, v = df.agg(F.count_distinct(column), F.first(column, ignorenulls=True)).first()
