@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import BROADCAST_BYTES, checked_broadcast, materialize, small_batches
+from tidegrid.llm.common import checked_broadcast, materialize, small_batches
 
 LENGTH, GRAM = 400, 32
 #: Bytes that numpy takes in one step; segments of a group that one task sorts; bytes that are sorted at once.
@@ -308,7 +308,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     sizes = materialize(sizes, "suffix-groups")
     asked = materialize(asked.join(sizes, "ah"), "suffix-asked")
     per_text = asked.groupBy("tid").agg(F.collect_list(F.struct("ah", "s", "e", "alone")).alias("own"))
-    parts = own.join(F.broadcast(per_text) if 128 * asked.count() <= BROADCAST_BYTES else per_text, "tid")
+    parts = own.join(per_text, "tid")  # lists grow with the texts: shuffled alike at every size, but for what Spark's own threshold lets it broadcast
     parts = parts.mapInArrow(lambda it: _cut_out(it, length), "ah long, tid long, s long, alone boolean, part binary")
     large = asked.filter(F.col("m") > group_rows).select("ah").distinct()
     some = bool(large.limit(1).count())
