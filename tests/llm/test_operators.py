@@ -111,6 +111,27 @@ def test_near_dedup(documents):
     assert near_dedup.near_dedup(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("set_rows", [1024, 64])
+def test_near_dedup_of_a_star(documents, set_rows):
+    """Copies that are like their original but not like each other all meet it, however large their buckets."""
+    r = random.Random(21)
+    base, texts = [f"w{i}" for i in range(204)], []
+    for k in range(600):
+        copy = list(base)
+        for part in r.sample(range(20), 4):
+            copy[10 * part + r.randrange(2, 8)] = f"x{k}y{part}"
+        texts.append(" ".join(copy))
+    texts.insert(300, " ".join(base))
+    own = [near_dedup.shingle_set(t, 5) for t in texts]
+    met = [near_dedup.bands(s) for s in own]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    linked = lambda i, j: ((met[i] == met[j]).any() or bin(prints[i] ^ prints[j]).count("1") <= 4) and near_dedup.similarity(own[i], own[j]) >= 0.8
+    want = components(range(len(texts)), linked)
+    assert len(set(want.values())) < 5
+    got = near_dedup.near_groups(documents(texts), set_rows=set_rows, bucket_rows=set_rows)
+    assert {x["key"]: x["leader"] for x in got.collect()} == want
+
+
 # ---- exact and line dedup ----------------------------------------------------------------------------------------
 
 

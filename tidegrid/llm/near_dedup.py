@@ -2,7 +2,8 @@
 
 Links come from SimHash fingerprints within `distance` bits, and from bands of min-hashes, since fingerprints of texts
 that share only four fifths of their shingles often differ in ten bits or more, which blocks of 64 bits can't find.
-Every link is verified on the texts: the Jaccard similarity of their sets of word shingles.
+Every link is verified on the texts: the Jaccard similarity of their sets of word shingles. All pairs that meet in a
+bucket are compared, but for those that verified links connect already.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import checked_broadcast, materialize, small_batches
 from tidegrid.llm.components import connected_components
-from tidegrid.llm.simhash import SEED, close_links, fingerprint, normal_bytes, shingle_bounds
+from tidegrid.llm.simhash import BUCKET_ROWS, SEED, block_masks, fingerprint, normal_bytes, shingle_bounds
 
 #: Bands of a signature and min-hashes in each: a pair at similarity 0.8 misses all 16 bands of 5 once in 500.
 BANDS, ROWS = 16, 5
+#: Shingle sets of one bucket that one task holds and compares; larger buckets are dealt out as pairs of parts.
+SET_ROWS = 1024
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -55,20 +58,21 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-_SIGNED = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sid, fp, keys = [], [], []
+        sid, fp, size, keys = [], [], [], []
         for text in batch.column("text"):
             t = text.as_py()
             s = shingle_set(t, n)
             sid.append(xxhash.xxh64_intdigest(s.tobytes(), 1))
             fp.append(fingerprint(t, n))
+            size.append(len(s))
             keys.append(bands(s).view(np.int64))
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), as_long(sid), as_long(fp), pa.array(keys, pa.list_(pa.int64()))], schema=_SIGNED)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), as_long(sid), as_long(fp), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=_SIGNED)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], n: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -97,40 +101,161 @@ def similar_links(docs: DataFrame, sets: DataFrame, candidates: DataFrame, n: in
     return pairs.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, n, least), "a long, b long")
 
 
-def near_groups(docs: DataFrame, n: int = 5, least: float = 0.8, distance: int = 4, key: str = "doc_id", text: str = "text", rounds: int = 3) -> DataFrame:
+def _shingles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("sid", pa.int64()), ("words", pa.binary())])
+    for batch in batches:
+        words = [shingle_set(t.as_py(), n).tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(words, pa.binary())], schema=schema)
+
+
+def _dealt(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """The rows (key, sid, root, ...) of buckets that hold more than one root, with sub and side: buckets above bucket_rows are dealt out as pairs of parts.
+
+    All pairs within a bucket of side 0 are to be compared, and those of sides 1 and 2."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    sizes = materialize(sizes.select("key", F.when(F.col("m") > bucket_rows, F.ceil(2 * F.col("m") / bucket_rows)).otherwise(1).cast("int").alias("p")), "near-sizes")
+    dealt = rows.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("p")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    sub = F.least("i", "j").cast("long") * F.col("p") + F.greatest("i", "j")
+    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
+    return dealt.select(*[c for c in rows.columns], sub.alias("sub"), side.alias("side"))
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "sub").sortWithinPartitions("key", "sub")
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole buckets, from rows sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, sub = batch.column("key").to_numpy(), batch.column("sub").to_numpy()
+        other = np.flatnonzero((key != key[-1]) | (sub != sub[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0  # where the last bucket, which may go on, begins
+        if cut or (last is not None and last != (key[0], sub[0])):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+        last = (key[-1], sub[-1])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pair_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _set_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Of each bucket a spanning forest of its similar pairs, beyond what the roots connect. A pair is compared in the first bucket it shares."""
+    for t in _whole_buckets(batches):
+        key, sub, at, sid, root, side = (t.column(c).to_numpy() for c in ("key", "sub", "at", "sid", "root", "side"))
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+        words = t.column("words")
+        starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1, [len(key)]))
+        out: list[tuple[int, int]] = []
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if (root[s:e] == root[s]).all():
+                continue
+            sets = [np.frombuffer(w.as_py(), np.uint64) for w in words.slice(s, e - s)]
+            out += [(int(sid[s + i]), int(sid[s + j])) for i, j in bucket_links(sets, root[s:e], side[s:e], keys[s:e, : at[s]], least)]
+        if out:
+            yield _pair_batch(out)
+
+
+def bucket_links(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, earlier: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Similar pairs of places that connect all that similar pairs connect, with the roots; pairs with an equal earlier key aren't looked at."""
+    label, size = np.unique(root, return_inverse=True)[1], np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    mark, out = np.zeros(len(ids) + 1, bool), []
+    for i in range(len(sets) - 1):
+        other = np.arange(i + 1, len(sets))
+        small, large = np.minimum(size[i], size[other]), np.maximum(size[i], size[other])
+        open_ = (label[other] != label[i]) & (small >= least * large * (1 - 1e-9))
+        if side[i]:
+            open_ &= side[other] != side[i]
+        other = other[open_]
+        if len(other) and earlier.shape[1]:
+            other = other[~(earlier[other] == earlier[i]).any(1)]
+        if not len(other):
+            continue
+        mark[ids[ends[i] - size[i] : ends[i]]] = True
+        both = np.array([np.count_nonzero(mark[ids[ends[j] - size[j] : ends[j]]]) for j in other])
+        mark[ids[ends[i] - size[i] : ends[i]]] = False
+        joint = size[i] + size[other] - both
+        for j in other[np.where(joint > 0, both / np.maximum(joint, 1), 1.0) >= least]:
+            if label[j] != label[i]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _close_pairs(batches: Iterator[pa.RecordBatch], distance: int, least: float) -> Iterator[pa.RecordBatch]:
+    """All pairs of different roots in a bucket whose fingerprints differ in 1 to `distance` bits and whose sizes allow them to be similar."""
+    for t in _whole_buckets(batches):
+        key, sub, sid, root, side, fp, size = (t.column(c).to_numpy() for c in ("key", "sub", "sid", "root", "side", "fp", "size"))
+        fp = fp.view(np.uint64)
+        starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1))
+        end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
+        i, d = np.arange(len(key)), 1
+        while len(i := i[i + d < end[i]]):
+            j = i + d
+            bits = np.bitwise_count(fp[i] ^ fp[j])
+            hit = (bits <= distance) & (bits > 0) & (root[i] != root[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            hit &= np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) * (1 - 1e-9)
+            if hit.any():
+                a, b = sid[i[hit]], sid[j[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            d += 1
+
+
+def near_groups(docs: DataFrame, n: int = 5, least: float = 0.8, distance: int = 4, key: str = "doc_id", text: str = "text", set_rows: int = SET_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(key, leader) for each row with a key: the smallest key of its group of near copies.
 
     Texts with one set of shingles are one node; null and empty texts are one too. Nodes are linked if their
     fingerprints are within `distance` bits or a band of their min-hashes is equal, and their Jaccard similarity is
-    `least` or more. In a bucket of equal bands all are compared with two of its members, drawn anew in each round
-    from those that no link has joined to a group yet, so that the comparisons stay in proportion to the rows."""
+    `least` or more. In a bucket of equal bands all are first compared with two of its members, which connects most
+    copies. Then every pair in a bucket that isn't connected yet is compared."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("key is not null")
-    signed = materialize(own.mapInArrow(lambda it: _sign(it, n), "key long, sid long, fp long, bands array<long>"), "near-signed")
-    sets = materialize(signed.groupBy("sid").agg(F.min("key").alias("head"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-sets")
-    prints = sets.groupBy("fp").agg(F.min("sid").alias("sid"))
-    by_print = close_links(prints.select("fp"), distance)
-    for side in ("a", "b"):
-        by_print = by_print.join(prints.select(F.col("fp").alias(side), F.col("sid").alias(f"s{side}")), side)
-    same_print = sets.join(prints.select("fp", F.col("sid").alias("first")), "fp").filter("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
-    candidates = by_print.select(F.col("sa").alias("a"), F.col("sb").alias("b")).unionByName(same_print)
-    rows = sets.select("sid", F.explode("bands").alias("band"))
+    docs = own.withColumnRenamed("key", key)
+    signed = materialize(own.mapInArrow(lambda it: _sign(it, n), "key long, sid long, fp long, size long, bands array<long>"), "near-signed")
+    sets = signed.groupBy("sid").agg(F.min("key").alias("head"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
+    sets = materialize(sets.withColumn("keys", F.array_append("bands", F.xxhash64("fp", F.lit(16)))).drop("bands"), "near-sets")
+    rows = sets.select("sid", F.posexplode("keys").alias("at", "band"))
     rows = materialize(rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("band"), "band"), "near-bands")
-    links = None
-    for r in range(rounds):
-        drawn = F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), "sid")
-        ends = rows.groupBy("band").agg(F.min(drawn).alias("lo"), F.max(drawn).alias("hi")).filter("lo.sid <> hi.sid")
-        met = rows.join(ends, "band").select("sid", F.explode(F.array("lo.sid", "hi.sid")).alias("other")).filter("sid <> other")
-        met = met.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
-        candidates = materialize((candidates.unionByName(met) if r == 0 else met).distinct(), "near-candidates")
-        found = materialize(similar_links(own.withColumnRenamed("key", key), sets, candidates, n, least, key, "text"), "near-links")
-        links = found if links is None else links.unionByName(found)
-        if not found.limit(1).count() and r:
-            break
+    drawn = F.struct(F.xxhash64("sid", F.lit(0)).alias("h"), "sid")
+    ends = rows.groupBy("band").agg(F.min(drawn).alias("lo"), F.max(drawn).alias("hi")).filter("lo.sid <> hi.sid")
+    met = rows.join(ends, "band").select("sid", F.explode(F.array("lo.sid", "hi.sid")).alias("other")).filter("sid <> other")
+    met = materialize(met.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct(), "near-candidates")
+    links = materialize(similar_links(docs, sets, met, n, least, key, "text"), "near-links")
+
+    def rooted() -> DataFrame:
         groups = materialize(connected_components(links), "near-components")
-        joined = groups.filter("node <> root").select(F.col("node").alias("sid"))
-        rows = materialize(rows.join(joined, "sid", "left_anti"), "near-bands")
-    named = sets.select("sid", "head").join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        return sets.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+    named = materialize(rooted().select("sid", "root"), "near-roots")
+    dealt = materialize(_dealt(rows.join(named, "sid").select(F.col("band").alias("key"), "sid", "root", "at"), set_rows), "near-dealt")
+    asked = materialize(sets.join(dealt.select("sid").distinct(), "sid", "left_semi").select("sid", "head", "keys"), "near-asked")
+    texts = docs.select(F.col(key).alias("head"), "text").join(checked_broadcast(asked.select("sid", "head"), 32), "head").select("sid", "text").dropDuplicates(["sid"])
+    words = materialize(texts.mapInArrow(lambda it: _shingles(it, n), "sid long, words binary"), "near-words")
+    held = dealt.join(words, "sid").join(asked.select("sid", "keys"), "sid")
+    more = _by_bucket(held).mapInArrow(lambda it: _set_links(it, least), "a long, b long")
+    links = links.unionByName(materialize(more, "near-links"))
+
+    named = materialize(rooted().select("sid", "fp", "size", "root"), "near-roots")
+    masks = block_masks(distance, 2)
+    blocks = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for i, m in enumerate(masks)])
+    rows = materialize(named.select("sid", "root", "fp", "size", F.explode(blocks).alias("key")), "near-blocks")
+    close = _by_bucket(_dealt(rows, bucket_rows)).mapInArrow(lambda it: _close_pairs(it, distance, least), "a long, b long")
+    close = materialize(close.distinct(), "near-candidates")
+    links = links.unionByName(materialize(similar_links(docs, sets, close, n, least, key, "text"), "near-links"))
+
+    named = rooted()
     least_key = named.groupBy("root").agg(F.min("head").alias("leader"))
     named = named.join(least_key, "root").select("sid", "leader")
     return signed.select("key", "sid").join(named, "sid").select("key", "leader")
