@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on 8 sources or more are cut from texts; every document stays."""
+    """Lines on 8 sources or more are cut from texts that have others; every document stays."""
     out = line_dedup(docs, min_sites=8)
     changed = F.col("n_removed") > 0
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)

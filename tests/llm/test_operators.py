@@ -156,6 +156,15 @@ def test_line_dedup(documents):
     assert sorted(line_dedup.line_dedup(df.drop("pos", "h"), min_sites=30).select("text").collect(), key=str) == sorted(df.select("text").collect(), key=str)
 
 
+def test_line_dedup_of_mostly_boilerplate(documents):
+    """A short text loses the long license around it; a document of spread lines only stays."""
+    license = "Permission is granted to anyone to use this text in any way and for any purpose whatever\n" * 4
+    texts = [f"{license}own {i}\n{license}" for i in range(4)] + [license]
+    got = {x["doc_id"]: x for x in line_dedup.line_dedup(documents(texts, source=list("abcde")), min_sites=3).collect()}
+    assert all(got[i]["text"] == f"own {i}\n" and got[i]["n_removed"] == 8 for i in range(4))
+    assert got[4]["text"] == license and got[4]["n_removed"] == 0
+
+
 # ---- byte-pair coding --------------------------------------------------------------------------------------------
 
 

@@ -34,12 +34,12 @@ def spread_lines(docs: DataFrame, site: str = "source", text: str = "text", min_
     return sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("h", "n"))
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = 8, most: float = 0.5) -> DataFrame:
+def line_dedup(docs: DataFrame, key: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = 8, most: float | None = None) -> DataFrame:
     """docs with spread lines cut from `text`, and n_lines and n_removed (longs).
 
-    Where spread lines hold more than the part `most` of a document's bytes in lines, the document is itself a copy
-    that went around, not a text with boilerplate, and stays as it is: removing whole copies is for the operators on
-    documents. Null texts stay null. Rows that repeat a key and text are treated alike."""
+    A document of spread lines only would become empty and stays as it is: removing whole copies is for the operators
+    on documents. With `most`, so does one where they hold more than that part of its bytes in lines, though it has
+    other text. Null texts stay null. Rows that repeat a key and text are treated alike."""
     spread = materialize(spread_lines(docs, site, text, min_sites), "line-boilerplate")
     own = docs.select(F.col(key).alias("__key"), F.xxhash64(F.col(text)).alias("__text"), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
     line = F.btrim(F.col("line"), F.lit(_BLANK))
@@ -47,7 +47,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", site: str = "source", text:
     hit = own.join(checked_broadcast(spread.withColumn("cut", F.lit(True)), 24), ["h", "n"], "left")
     marks = hit.groupBy("__key", "__text").agg(F.collect_set(F.struct("pos", "n", F.coalesce("cut", F.lit(False)).alias("cut"))).alias("marks"), F.max("cut").alias("any"))
     total = lambda which: F.aggregate(F.filter("marks", which), F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    marks = marks.filter("any").filter(total(lambda x: x["cut"]) <= most * total(lambda x: F.lit(True)))
+    cut, whole = total(lambda x: x["cut"]), total(lambda x: F.lit(True))
+    marks = marks.filter("any").filter(cut < whole if most is None else cut <= most * whole)
     marks = materialize(marks.select("__key", "__text", F.transform(F.array_sort("marks"), lambda x: x["cut"]).alias("__cut")), "line-marks")
     named = checked_broadcast(marks, 256)
     met = docs.join(named, docs[key].eqNullSafe(F.col("__key")) & (F.xxhash64(docs[text]) == F.col("__text")), "left")

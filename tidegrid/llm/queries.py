@@ -57,8 +57,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines on 8 sources or more are cut."""
-    out = line_dedup(load(spark, sf_dir, "documents"), min_sites=8)
+    """Lines on 8 sources or more are cut, as the SQL has it: not from documents more than half of which they are."""
+    out = line_dedup(load(spark, sf_dir, "documents"), min_sites=8, most=0.5)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
