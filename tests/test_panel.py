@@ -240,3 +240,11 @@ def test_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count(*) from scores").first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_whole_arrays(spark, sf):
+    """The registered query keeps every value of every array."""
+    from tidegrid.plans.queries import QUERIES
+
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
+    assert QUERIES["arrays_to_long_whole"](spark, sf).count() == n

@@ -636,6 +636,12 @@ def arrays_to_long(spark, sf):
     return tables.arrays_to_long(own, D, last=4)
 
 
+@query("SELECT CAST(vec_id AS VARCHAR) AS unique_id, TIMESTAMP '2024-01-01' + to_days(CAST(i AS INTEGER)) AS ds, y FROM (SELECT vec_id, unnest(embedding) AS y, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")
+def arrays_to_long_whole(spark, sf):
+    own = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("unique_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("start"), F.col("embedding").alias("target"))
+    return tables.arrays_to_long(own, D)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Validated daily panel, seasonal-naive forecast of a week."""
     own = p1(spark, sf)
