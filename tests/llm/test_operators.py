@@ -375,6 +375,20 @@ def test_chain_messages():
     assert (1 / (1 + np.exp(-(f + b)[:, 0]))) == pytest.approx(on / total)
 
 
+def test_chain_across_pieces():
+    """Documents of several pieces have the messages of one whole chain."""
+    rng = np.random.default_rng(15)
+    lengths = np.array([1, 64, 65, 0, 300, 130, 7, 200, 128])
+    model = toxicity.ToxicityModel({}, rng.normal(size=(3, 50)), np.array([[1.5, -1.0], [-1.0, 1.5]]), -0.7)
+    ids = rng.integers(0, 50, lengths.sum()).astype(np.int32)
+    e, at, want = model.emissions(ids, lengths), 0, []
+    for n in lengths[lengths > 0]:
+        f, b = toxicity.messages(e[at : at + n, None], np.ones((n, 1), bool), model.moves, model.start)
+        want += toxicity.sigmoid(f + b)[:, 0].tolist()
+        at += n
+    assert model.marginals(ids, lengths) == pytest.approx(np.array(want), abs=1e-9)
+
+
 def test_language(documents):
     r = random.Random(13)
     other = ["über", "schön", "ßen", "keit", "für", "heit", "ung"]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import checked_broadcast, materialize, small_batches
 
 _WORDS = re.compile(r"\w+")
-#: Tokens that are decoded as one chain, and tokens in one numpy step.
+#: Tokens in one piece of a document's chain, and tokens in one numpy step.
 CHAIN, STEP = 64, 1 << 18
 #: Labelled documents of each class that training reads at most.
 SAMPLE = 1500
@@ -60,7 +60,7 @@ class ToxicityModel:
             return np.empty(0)
         place, valid = chains(lengths)
         e = np.where(valid, self.emissions(ids, lengths)[place], 0)
-        f, b = messages(e, valid, self.moves, self.start)
+        f, b = carried_messages(e, valid, -(-lengths // CHAIN), self.moves, self.start)
         out = np.empty(len(ids))
         out[place[valid]] = sigmoid((f + b)[valid])
         return out
@@ -126,6 +126,52 @@ def messages(e: np.ndarray, valid: np.ndarray, moves: np.ndarray, start: float)
     return f, back
 
 
+def _step(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log odds after log odds x go through the products p: (2, 2, n)."""
+    x = np.exp(np.clip(x, -40, 40))
+    return np.log((p[0, 1] + p[1, 1] * x + 1e-300) / (p[0, 0] + p[1, 0] * x + 1e-300))
+
+
+def carried_messages(e: np.ndarray, valid: np.ndarray, pieces: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """messages() of whole documents, each cut into so many pieces, one behind another: a column of e is a piece.
+
+    A piece's steps multiply to one 2 x 2 matrix, which carries messages across it; with what comes in from both sides, the messages within follow."""
+    pieces = pieces[pieces > 0]
+    if not (pieces > 1).any():
+        return messages(e, valid, moves, start)
+    head = np.cumsum(pieces) - pieces
+    first = np.zeros(e.shape[1], bool)
+    first[head] = True
+    last = np.roll(first, -1)
+    m = np.repeat(np.exp(moves)[:, :, None], e.shape[1], 2)
+    m[:, 0, first], m[:, 1, first] = 1.0, np.exp(start)
+    w = np.exp(np.clip(e, -40, 40))
+    p = m.copy()
+    p[:, 1] *= w[0]
+    (a, b), (c, d) = np.exp(moves)
+    for t in range(1, len(e)):
+        new = np.stack([np.stack([r[0] * a + r[1] * c, (r[0] * b + r[1] * d) * w[t]]) for r in p])
+        p = np.where(valid[t], new / new.sum((0, 1)), p)
+    into, after = np.zeros(e.shape[1]), np.zeros(e.shape[1])
+    back = p.swapaxes(0, 1)
+    order = np.argsort(-pieces, kind="stable")
+    head, pieces = head[order], pieces[order]
+    for k in range(1, int(pieces[0])):  # documents with more than k pieces
+        own = head[: np.searchsorted(-pieces, -k)]
+        n = pieces[: len(own)]
+        into[own + k] = _step(into[own + k - 1], p[:, :, own + k - 1])
+        at = own + n - k
+        after[at - 1] = _step(after[at], back[:, :, at])
+    f, out = np.empty_like(e), np.zeros_like(e)
+    f[0] = e[0] + np.where(first, start, _step(into, np.exp(moves)[:, :, None]))
+    for t in range(1, len(e)):
+        f[t] = e[t] + _step(f[t - 1], np.exp(moves)[:, :, None])
+    out[-1] = np.where(last, 0, after)
+    for t in range(len(e) - 2, -1, -1):
+        out[t] = np.where(valid[t + 1], _step(e[t + 1] + out[t + 1], np.exp(moves).T[:, :, None]), 0)
+    return f, out
+
+
 def lexicon(texts: Sequence[list[str]], toxic: np.ndarray, least: int = 4, share: float = 0.03, odds: float = 20.0) -> set[str]:
     """Words that mark toxic documents: in at least `least` and the given share of them, and `odds` times as often as elsewhere. A document where a word stands between the same two words as in an earlier one is a copy to it and doesn't count again."""
     inside, outside, met = Counter(), Counter(), set()
