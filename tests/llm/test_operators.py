@@ -284,8 +284,8 @@ def slow_spans(texts, n):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [6000, 2])
-def test_suffix_dedup(documents, group_rows):
+@pytest.mark.parametrize("group_bytes", [1 << 20, 100])
+def test_suffix_dedup(documents, group_bytes):
     r = random.Random(8)
     shared = [prose(r, 14), prose(r, 30), "ab" * 60, "é" * 50]
     texts = [None, "", "short", "z" * 200, "z" * 199]
@@ -295,7 +295,7 @@ def test_suffix_dedup(documents, group_rows):
         texts.append(parts[0] + cut + parts[1])
     raw = [(t or "").encode() for t in texts]
     df = documents(texts).withColumn("tid", F.lit("clash")).withColumn("starts", F.lit(1)).withColumn("own", F.lit(1))
-    got = {x["doc_id"]: x for x in suffix_dedup.suffix_dedup(df, length=40, gram=8, group_rows=group_rows).collect()}
+    got = {x["doc_id"]: x for x in suffix_dedup.suffix_dedup(df, length=40, gram=8, group_bytes=group_bytes).collect()}
     for i, mark in enumerate(slow_spans(raw, 40)):
         assert bytes(got[i]["kept"]) == bytes(b for b, m in zip(raw[i], mark) if not m)
         assert got[i]["n_spans"] == sum(m and not (k and mark[k - 1]) for k, m in enumerate(mark))
@@ -315,6 +315,31 @@ def test_suffix_order():
         assert [data[i : i + n] for i in order] == sorted(data[i : i + n] for i in order)
 
 
+def test_repeats_follow_from_order_and_bytes():
+    """Neighbours in the order of suffixes decide by their bytes; with another order repeats are lost."""
+    r = random.Random(16)
+    parts = [prose(r, 30).encode() for _ in range(6)]
+    data = np.frombuffer(b"\xff".join(r.choice(parts)[r.randrange(40) :] for _ in range(30)), np.uint8)
+    wanted = np.array([b"\xff" not in data[i : i + 50].tobytes() and i + 50 <= len(data) for i in range(len(data))])
+    seen = Counter(data[i : i + 50].tobytes() for i in np.flatnonzero(wanted))
+    hit = suffix_dedup.repeated_windows(data, wanted, 50)
+    assert [i for i in np.flatnonzero(wanted) if seen[data[i : i + 50].tobytes()] > 1] == np.flatnonzero(hit).tolist()
+    a, b = rng_pairs(len(data))
+    want = [next((k for k in range(50) if max(i, j) + k >= len(data) or data[i + k] != data[j + k]), 50) for i, j in zip(a, b)]
+    assert suffix_dedup.common_prefixes(data, a, b, 50).tolist() == want
+    kept, suffix_dedup.suffix_order = suffix_dedup.suffix_order, lambda d, w, n: np.random.default_rng(0).permutation(np.flatnonzero(w))
+    try:
+        assert not (suffix_dedup.repeated_windows(data, wanted, 50) == hit).all()
+    finally:
+        suffix_dedup.suffix_order = kept
+
+
+def rng_pairs(n):
+    rng = np.random.default_rng(17)
+    a, b = rng.integers(0, n, 300), rng.integers(0, n, 300)
+    return a[a != b], b[a != b]
+
+
 # ---- vectors -----------------------------------------------------------------------------------------------------
 
 
