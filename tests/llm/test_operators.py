@@ -414,6 +414,58 @@ def test_chain_across_pieces():
     assert model.marginals(ids, lengths) == pytest.approx(np.array(want), abs=1e-9)
 
 
+def test_toxicity_of_awkward_rows(documents, spark):
+    """Repeated rows, null keys, clashing columns, an empty table and a very long text."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    texts = [(i, "you vile scum " * 3 if i % 2 else "a fine day out here") for i in range(40)]
+    docs = documents([*texts, texts[3], (None, "scum"), (None, None), (99, "fine day " * 60_000 + "scum")]).withColumn("toxicity", F.lit("clash")).withColumn("__y", F.lit(1))
+    model = toxicity.fit(docs, labels)
+    out = toxicity.with_toxicity(docs, model).collect()
+    assert len(out) == 44 and len({x["toxicity"] for x in out if x["doc_id"] == 3}) == 1 and all(0 <= x["toxicity"] <= 1 for x in out)
+    assert toxicity.with_toxicity(docs.filter("false"), model).count() == 0
+    assert not any(x["h"] is None for x in docs.select(toxicity.held_out(F.col("doc_id")).alias("h")).collect())
+    assert toxicity.fit(docs, labels, sample=3, sample_bytes=60).scores(["scum", ""]).max() <= 1
+
+
+@pytest.mark.parametrize("tagged", [True, False])
+def test_chain_gradient(tagged):
+    """Of tags and of documents' labels, against differences of the likelihood by enumeration."""
+    rng = np.random.default_rng(18)
+    lengths, toxic = np.array([5, 1, 4]), np.array([1, 0, 1])
+    model = toxicity.ToxicityModel({}, rng.normal(0, 1, (3, 6)), rng.normal(0, 1, (2, 2)), -0.4)
+    ids, tags = rng.integers(0, 6, 10).astype(np.int32), rng.random(10) < 0.4
+
+    def loss():
+        e, at, total = model.emissions(ids, lengths), 0, 0.0
+        for n, y in zip(lengths, toxic):
+            score = {}
+            for k in range(2**n):
+                s = [k >> i & 1 for i in range(n)]
+                score[k] = model.start * s[0] + sum(e[at + i] * s[i] for i in range(n)) + sum(model.moves[s[i], s[i + 1]] for i in range(n - 1))
+            z = np.log(sum(np.exp(list(score.values()))))
+            if tagged:
+                total += z - score[sum(int(t) << i for i, t in enumerate(tags[at : at + n]))]
+            else:
+                clean = np.exp(score[0] - z)
+                total -= np.log(1 - clean) if y else np.log(clean)
+            at += n
+        return total
+
+    got = toxicity.gradient(model, ids, lengths, tags if tagged else None, toxic)
+    flat = [(model.weights, i) for i in np.ndindex(3, 6)] + [(model.moves, i) for i in np.ndindex(2, 2)]
+    for (w, i), g in zip(flat, got):
+        w[i] += 1e-5
+        up = loss()
+        w[i] -= 2e-5
+        down = loss()
+        w[i] += 1e-5
+        assert (up - down) / 2e-5 == pytest.approx(g, abs=1e-6)
+    model.start += 1e-5
+    up = loss()
+    model.start -= 2e-5
+    assert (up - loss()) / 2e-5 == pytest.approx(got[-1], abs=1e-6)
+
+
 def test_language(documents):
     r = random.Random(13)
     other = ["über", "schön", "ßen", "keit", "für", "heit", "ung"]

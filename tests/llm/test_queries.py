@@ -93,6 +93,15 @@ def test_op10(spark, sf):
     assert np.mean([x["predicted"] == toxic[x["doc_id"]] for x in got if x["doc_id"] in toxic]) > 0.9
 
 
+def test_op10_finds_held_out_documents(spark):
+    """Of documents that training didn't see: nine of ten toxic ones, and hardly any other."""
+    sf = "/root/testdata/sf0.1"
+    toxic = {r[0]: r[2] for r in table(sf, "labels")}
+    got = [x for x in QUERIES["op10_toxicity"](spark, sf).filter("held_out").collect() if toxic.get(x["doc_id"]) is not None]
+    bad, clean = [[x["predicted"] for x in got if toxic[x["doc_id"]] == y] for y in (1, 0)]
+    assert len(bad) > 50 and np.mean(bad) >= 0.9 and np.mean(clean) < 0.02
+
+
 def test_pipeline(spark, sf, tmp_path, texts):
     docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:

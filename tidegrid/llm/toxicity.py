@@ -1,9 +1,11 @@
 """Toxicity by a linear-chain conditional random field over words, trained here in numpy.
 
-Labels are given for documents. Words that stand in toxic documents far more often than in others label the tokens of
-the toxic ones; a two-state chain (clean, toxic) is fitted to these tags by gradients from the forward-backward
-algorithm. In a text, the marginals of the toxic state give the offending spans; a logistic model pools them to the score.
-Messages are kept as log odds of the toxic state, so that a step of the recursion is one exp and two logs.
+Labels are given for documents. Words and beginnings of words that toxic documents have far more often than others label
+the first tokens; a two-state chain (clean, toxic) over whole documents is fitted to them by gradients from the
+forward-backward algorithm. It is then fitted further to the documents' labels themselves: a toxic document has at
+least one toxic token, and its tags are those expected under that condition, whatever the first list held. In a text, the
+marginals of the toxic state give the offending spans; a logistic model pools them to the score. Messages are kept as
+log odds of the toxic state.
 """
 
 from __future__ import annotations
@@ -16,33 +18,58 @@ from sys import intern
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import checked_broadcast, materialize, small_batches
+from tidegrid.llm.common import checked_broadcast, discard, materialize, small_batches
 
 _WORDS = re.compile(r"\w+")
-#: Tokens in one piece of a document's chain, and tokens in one numpy step.
+#: Tokens in one piece of a document's chain, which messages cross; tokens in one numpy step.
 CHAIN, STEP = 64, 1 << 18
-#: Labelled documents of each class that training reads at most.
-SAMPLE = 1500
+#: Labelled documents of each class that training reads at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 1500, 32 << 20
+#: Letters of a word's beginning that may stand for the word.
+STEMS = range(4, 9)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+class Forms(dict):
+    """Ids of words: that of a beginning that marks toxic words if the word goes on behind it, else the word's own, else 0. Remembers some words."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        self.vocabulary = vocabulary
+        self.stems = any(w.endswith("*") for w in vocabulary)
+
+    def __missing__(self, word: str) -> int:
+        get = self.vocabulary.get
+        found = next((i for k in STEMS if k < len(word) and (i := get(word[:k] + "*"))), None) if self.stems else None
+        found = found or get(word, 0)
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = found
+        return found
+
+
 @dataclass
 class ToxicityModel:
-    vocabulary: dict[str, int]  # a word's place in the weights; 0 is for all other words
+    vocabulary: dict[str, int]  # a word's, or a beginning's with *, place in the weights; 0 is for all other words
     weights: np.ndarray  # (3, V): of the word itself, the one before and the one after
     moves: np.ndarray  # (2, 2) log potentials, first state by next
     start: float
     pool: np.ndarray = field(default_factory=lambda: np.array([-3.0, 6.0, 1.0]))
 
+    def __post_init__(self) -> None:
+        self.forms = Forms(self.vocabulary)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"forms": Forms(self.vocabulary)}  # what one worker remembers isn't sent to others
+
     def ids(self, text: str | None) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in _WORDS.findall((text or "").lower())], np.int32)
+        forms = self.forms
+        return np.array([forms[w] for w in _WORDS.findall((text or "").lower())], np.int32)
 
     def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log odds for each token of documents that lie one behind another."""
@@ -91,7 +118,7 @@ class ToxicityModel:
         if len(low) != len(text or ""):  # a few letters change their length; their offsets are of the text as it is
             low = text or ""
         words = list(_WORDS.finditer(low))
-        ids = np.array([self.vocabulary.get(w[0].lower(), 0) for w in words], np.int32)
+        ids = np.array([self.forms[w[0].lower()] for w in words], np.int32)
         hot = self.marginals(ids, np.array([len(ids)])) >= least
         out: list[tuple[int, int]] = []
         for k in np.flatnonzero(hot):
@@ -172,39 +199,65 @@ def carried_messages(e: np.ndarray, valid: np.ndarray, pieces: np.ndarray, moves
     return f, out
 
 
-def lexicon(texts: Sequence[list[str]], toxic: np.ndarray, least: int = 4, share: float = 0.03, odds: float = 20.0) -> set[str]:
-    """Words that mark toxic documents: in at least `least` and the given share of them, and `odds` times as often as elsewhere. A document where a word stands between the same two words as in an earlier one is a copy to it and doesn't count again."""
-    inside, outside, met = Counter(), Counter(), set()
+def _forms(words: Counter) -> set[str]:
+    """Words of a document, and beginnings (with *) of two of its tokens or more: one such token is often chance."""
+    stems = Counter()
+    for w, k in words.items():
+        for n in STEMS:
+            if n < len(w):
+                stems[w[:n] + "*"] += k
+    return set(words) | {w for w, k in stems.items() if k > 1}
+
+
+def lexicon(texts: Sequence[list[str]], toxic: np.ndarray, odds: float = 20.0, chance: float = 0.05, ways: int = 4) -> set[str]:
+    """Words, and beginnings that go on in `ways` ways or more, that mark toxic documents: `odds` times as often in them as elsewhere, and so often that with probability `chance` at most any of the words seen did it by chance.
+
+    A document where a word stands between the same two words as in an earlier one is a copy to it and doesn't count again."""
+    inside, outside, met, heard = Counter(), Counter(), set(), set()
     for words, y in zip(texts, toxic, strict=True):
         if not y:
-            outside.update(set(words))
+            outside.update(_forms(Counter(words)))
             continue
         around = {hash(k): k[1] for k in zip(["", *words], words, [*words[1:], ""], strict=False)}
         copied = {w for k, w in around.items() if k in met}
-        inside.update(set(words) - copied)
+        inside.update(_forms(Counter(w for w in words if w not in copied)))
         met.update(around)
+        heard.update(words)
     n, m = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    return {w for w, k in inside.items() if k >= max(least, share * n) and k / n > odds * (outside[w] + 1) / m}
+    base = n / (n + m)
+    inside = {w: k for w, k in inside.items() if k > 3}
+    surprise = np.log(max(1, len(inside)) / chance)
+    going_on = Counter(w[:k] + "*" for w in heard for k in STEMS if k < len(w))
+
+    def marks(w: str, k: int) -> bool:
+        if k / n <= odds * (outside[w] + 1) / m or (w.endswith("*") and going_on[w] < ways):
+            return False
+        p = k / (k + outside[w])
+        return (k + outside[w]) * (p * np.log(p / base) + (1 - p) * np.log((1 - p + 1e-12) / (1 - base))) >= surprise
+
+    return {w for w, k in inside.items() if marks(w, k)}
 
 
-def train(texts: Sequence[str | None], toxic: Sequence[int], words: int = 20_000, rounds: int = 40, seed: int = 5) -> ToxicityModel:
-    """A model from whole texts and their labels; without any toxic or any clean text, one whose scores are all the same side."""
+def train(texts: Sequence[str | None], toxic: Sequence[int], words: int = 20_000, rounds: int = 10, more: int = 3, seed: int = 5, odds: float | None = None) -> ToxicityModel:
+    """A model from whole texts and their labels; without any toxic or any clean text, one whose scores are all the same side.
+
+    `odds` are those of a toxic document where they aren't those of the texts, as in a sample by class."""
     y = np.asarray(toxic, np.int64)
     split = [[intern(w) for w in _WORDS.findall((t or "").lower())] for t in texts]  # one string for each word
     bad = lexicon(split, y)
+    # of beginnings the shortest stands for those behind it
+    bad = {w for w in bad if not w.endswith("*") or not any(w[:k] + "*" in bad for k in STEMS if k < len(w) - 1)}
     seen = Counter(w for s in split for w in set(s))
-    common = [w for w, k in sorted(seen.items(), key=lambda x: (x[0] not in bad, -x[1], x[0])) if k >= 2 or w in bad][:words]
+    common = sorted(bad) + [w for w, k in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if k >= 2 and w not in bad][: max(0, words - len(bad))]
     vocabulary = {w: i + 1 for i, w in enumerate(common)}
     model = ToxicityModel(vocabulary, np.zeros((3, len(vocabulary) + 1)), np.zeros((2, 2)), -3.0)
     model.weights[0] = -1.0
-    ids = [np.array([vocabulary.get(w, 0) for w in words], np.int32) for words in split]
+    ids = [np.array([model.forms[w] for w in s], np.int32) for s in split]
     del split, seen
-    lengths = np.array([len(x) for x in ids], np.int64)
-    if bad and lengths.sum():
+    if bad and sum(map(len, ids)):
         marks = np.zeros(len(vocabulary) + 1, bool)
         marks[[vocabulary[w] for w in bad]] = True
-        tags = [marks[x] & bool(k) for x, k in zip(ids, y, strict=True)]
-        _fit_chain(model, np.concatenate(ids), np.concatenate(tags), lengths, rounds, seed)
+        _descend(model, ids, [marks[x] & bool(k) for x, k in zip(ids, y, strict=True)], y, rounds, more, seed)
     x = model.features(texts)
     pool = np.zeros(3) if y.any() and not y.all() else np.array([6.0 if y.any() else -6.0, 0, 0])
     if y.any() and not y.all():
@@ -213,75 +266,133 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], words: int = 20_000
             h = (x * (p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(3)
             move = np.linalg.solve(h, x.T @ (p - y) + 0.3 * pool)
             pool = pool - move * min(1, 1 / np.linalg.norm(move).clip(1e-9))
+        pool[0] += np.log(odds * (1 - y.mean()) / y.mean()) if odds else 0.0
     model.pool = pool
     return model
 
 
-def _fit_chain(model: ToxicityModel, ids: np.ndarray, tags: np.ndarray, lengths: np.ndarray, rounds: int, seed: int) -> None:
-    """Adam on the likelihood of chains: all that hold a toxic tag, and as many others, drawn by the seed."""
+@dataclass
+class Expected:
+    """What a chain expects of documents that lie one behind another."""
+
+    token: np.ndarray  # probability of the toxic state
+    pairs: np.ndarray  # (4, documents): expected clean-clean, clean-toxic, toxic-clean and toxic-toxic neighbours
+    clean: np.ndarray  # (documents,): probability that no token is toxic
+
+
+def expected(model: ToxicityModel, ids: np.ndarray, lengths: np.ndarray) -> Expected:
+    """Marginals of whole documents' chains, none of them empty."""
     place, valid = chains(lengths)
-    marked = (tags[place] & valid).any(0)
+    pieces = -(-lengths // CHAIN)
+    doc = np.repeat(np.arange(len(lengths)), pieces)
+    e = np.where(valid, model.emissions(ids, lengths)[place], 0)
+    f, b = carried_messages(e, valid, pieces, model.moves, model.start)
+    p = sigmoid(f + b)
+    token = np.empty(len(ids))
+    token[place[valid]] = p[valid]
+    # neighbours within a piece, and the last of a piece with the first of the next one of its document
+    goes_on = np.append(doc[1:] == doc[:-1], False)
+    left = np.concatenate((f[:-1], f[-1:]))
+    right = np.concatenate(((e + b)[1:], np.roll((e + b)[:1], -1, axis=1)))
+    both = np.concatenate((valid[1:] & valid[:-1], goes_on[None, :]))
+    x, z = np.exp(np.clip(left, -40, 40)), np.exp(np.clip(right, -40, 40))
+    pot = np.exp(model.moves)
+    q = np.stack([pot[0, 0] + 0 * x, pot[0, 1] * z, pot[1, 0] * x, pot[1, 1] * x * z])
+    q = np.where(both, q / q.sum(0), 0)
+    stay = np.where(both, np.log((q[0] + 1e-300) / (q[0] + q[1] + 1e-300)), 0).sum(0)
+    head = np.cumsum(pieces) - pieces
+    log_clean = np.add.reduceat(stay, head) + np.log1p(-np.minimum(p[0, head], 1 - 1e-12))
+    return Expected(token, np.add.reduceat(q.sum(1), head, axis=1), np.exp(np.minimum(log_clean, 0)))
+
+
+def gradient(model: ToxicityModel, ids: np.ndarray, lengths: np.ndarray, tags: np.ndarray | None, toxic: np.ndarray) -> np.ndarray:
+    """Of the negative log-likelihood by all weights, moves and the start: of the tags, or without tags of the documents' labels, where a toxic document is one with a toxic token.
+
+    Expected features of a chain less those of the tags. Given a label, the tags' features are the expected ones under the
+    condition; that is the features of a clean chain, further away from or nearer to the chain's own by clean / (1 - clean)."""
+    own = expected(model, ids, lengths)
+    ends = np.cumsum(lengths)
+    first, last = ends - lengths, ends - 1
+    if tags is None:
+        doc = np.where(toxic > 0, -own.clean / np.maximum(1 - own.clean, 1e-9), 1.0)
+        gap = own.token * np.repeat(doc, lengths)
+        pairs = (own.pairs - np.stack([lengths - 1, *[0 * lengths] * 3])) @ doc
+    else:
+        t = tags.astype(float)
+        gap = own.token - t
+        s, u = t[:-1], t[1:]
+        inner = np.ones(len(s), bool)
+        inner[last[:-1]] = False
+        pairs = own.pairs.sum(1) - np.array([((1 - s) * (1 - u))[inner].sum(), ((1 - s) * u)[inner].sum(), (s * (1 - u))[inner].sum(), (s * u)[inner].sum()])
+    size = model.weights.shape[1]
+    starts, stops = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    starts[first] = stops[last] = True
+    grad = [np.bincount(ids, gap, size), np.bincount(ids[:-1][~stops[:-1]], gap[1:][~starts[1:]], size), np.bincount(ids[1:][~starts[1:]], gap[:-1][~stops[:-1]], size)]
+    return np.concatenate((*grad, pairs, [gap[first].sum()]))
+
+
+def _descend(model: ToxicityModel, ids: list[np.ndarray], tags: list[np.ndarray], toxic: np.ndarray, rounds: int, more: int, seed: int) -> None:
+    """Adam on batches of whole documents: `rounds` times over all of them with the first tags, `more` times with labels alone.
+
+    In the second part toxic documents in which the chain finds nothing take no part: their labels may be wrong."""
     rng = np.random.default_rng(seed)
-    others = np.flatnonzero(~marked)
-    own = np.concatenate((np.flatnonzero(marked), rng.permutation(others)[: max(200, 2 * marked.sum())]))
-    place, valid = place[:, own], valid[:, own]
-    first = np.zeros(len(ids), bool)
-    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    before = np.where(first, -1, np.arange(len(ids)) - 1)
-    after = np.append(np.where(first[1:], -1, np.arange(1, len(ids))), -1)
-    neighbours = [np.where(k[place] < 0, -1, ids[np.maximum(k[place], 0)]) for k in (np.arange(len(ids)), before, after)]
-    y = (tags[place] & valid).astype(float)
-    state = [np.zeros(model.weights.size + 5), np.zeros(model.weights.size + 5)]
-    step = 0
-    for _ in range(rounds):
-        order = rng.permutation(place.shape[1])
-        for cut in range(0, len(order), 1024):
-            k = order[cut : cut + 1024]
-            v, t = valid[:, k], y[:, k]
-            who = [w[:, k] for w in neighbours]
-            e = np.where(v, sum(np.where(w < 0, 0, model.weights[j][np.maximum(w, 0)]) for j, w in enumerate(who)), 0)
-            f, b = messages(e, v, model.moves, model.start)
-            p = sigmoid(f + b)
-            gap = np.where(v, p - t, 0)
-            grad = np.zeros_like(model.weights)
-            for j, w in enumerate(who):
-                np.add.at(grad[j], w[w >= 0], gap[w >= 0])
-            both = v[1:] & v[:-1]
-            x, z = np.exp(np.clip(f[:-1], -40, 40)), np.exp(np.clip(e[1:] + b[1:], -40, 40))
-            pot = np.exp(model.moves)
-            q = np.stack([pot[0, 0] + 0 * x, pot[0, 1] * z, pot[1, 0] * x, pot[1, 1] * x * z])
-            q = np.where(both, q / q.sum(0), 0).sum((1, 2))
-            s, u = t[:-1], t[1:]
-            seen = np.array([((1 - s) * (1 - u))[both].sum(), ((1 - s) * u)[both].sum(), (s * (1 - u))[both].sum(), (s * u)[both].sum()])
-            flat = np.concatenate((grad.ravel(), q - seen, [gap[0].sum()])) / len(k)
-            theta = np.concatenate((model.weights.ravel(), model.moves.ravel(), [model.start]))
+    own = np.array([i for i, x in enumerate(ids) if len(x)])
+    sizes = np.array([len(ids[i]) for i in own])
+    theta = np.concatenate((model.weights.ravel(), model.moves.ravel(), [model.start]))
+    state, step, n = np.zeros((2, len(theta))), 0, model.weights.size
+    for r in range(rounds + more):
+        order = rng.permutation(len(own))
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes[order]) // min(STEP // 4, 1 + sizes.sum() // 16))) + 1
+        for batch in np.split(order, cut):
+            docs = own[batch]
+            if r >= rounds:
+                found = expected(model, np.concatenate([ids[i] for i in docs]), sizes[batch]).clean < 0.5
+                batch = batch[found | (toxic[docs] == 0)]
+                docs = own[batch]
+                if not len(docs):
+                    continue
+            t = np.concatenate([tags[i] for i in docs]) if r < rounds else None
+            flat = gradient(model, np.concatenate([ids[i] for i in docs]), sizes[batch], t, toxic[docs]) / len(docs)
             flat += 1e-4 * theta
             step += 1
             state[0] = 0.9 * state[0] + 0.1 * flat
             state[1] = 0.99 * state[1] + 0.01 * flat**2
-            theta = theta - 0.15 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-6)
-            model.weights, model.moves, model.start = theta[: model.weights.size].reshape(model.weights.shape), theta[-5:-1].reshape(2, 2), float(theta[-1])
+            pace = 0.15 if r < rounds else 0.02
+            theta = theta - pace * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-6)
+            model.weights, model.moves, model.start = theta[:n].reshape(model.weights.shape), theta[n:-1].reshape(2, 2), float(theta[-1])
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
+
 
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
+    """Trains on labelled documents that are not held out: of each class those that come first by a hash of their keys, at most `sample` rows and `sample_bytes` bytes of whole texts.
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """Trains on at most `sample` documents of each class, by a hash of their keys, from the labelled ones that are not held out."""
+    That bounds what the driver gets. A document labelled both ways counts as toxic; rows without a key or label aren't
+    learned from, null texts are empty ones; rows that repeat a key count one by one. Without labels nothing is toxic."""
     own = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("__key")).agg(F.max(label).alias("__y"))
     drawn = None
     for y in (0, 1):
         part = own.filter(F.col("__y") == y).orderBy(F.xxhash64("__key", F.lit(11)), "__key").limit(sample)
         drawn = part if drawn is None else drawn.unionByName(part)
     drawn = materialize(drawn, "toxicity-sample")
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(checked_broadcast(drawn, 16), "__key").select("__key", "__text", "__y").collect()
-    rows.sort(key=lambda r: (r["__key"], r["__text"] or ""))
-    return train([r["__text"] for r in rows], [int(r["__y"]) for r in rows])
+    counts = {r["__y"]: r["n"] for r in own.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    rows = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(checked_broadcast(drawn, 16), "__key")
+    order = Window.partitionBy("__y").orderBy(F.xxhash64("__key", F.lit(11)), "__key", F.xxhash64("__text"))
+    so_far = F.sum(F.octet_length("__text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= sample).withColumn("__bytes", so_far).filter(F.col("__bytes") <= sample_bytes)
+    rows = rows.select("__key", "__text", "__y").collect()
+    discard(drawn)
+    rows.sort(key=lambda r: (r["__key"], r["__text"]))
+    return train([r["__text"] for r in rows], [int(r["__y"]) for r in rows], odds=counts.get(1, 0) / max(1, counts.get(0, 0)))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "toxicity") -> DataFrame:
-    """docs with the score of each whole text, 0 to 1; null as empty, which scores as a text without a toxic word."""
+    """docs with the score of each whole text, 0 to 1, in the column `into`, which replaces one of that name; other columns pass through.
+
+    Null counts as empty and scores as a text without a toxic word. Equal rows get equal scores; an empty table stays
+    empty. However long a text, it is one chain; one batch of texts is held by a task."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -292,7 +403,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", int
 
 
 def with_toxic_spans(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "toxic_spans") -> DataFrame:
-    """docs with an array of (start, end) in code points of the offending runs of words."""
+    """docs with an array of (start, end) in code points of the offending runs of words; null and empty texts have none. Rows, columns and long texts are treated as by with_toxicity()."""
 
     @F.pandas_udf("array<array<int>>")
     def spans(texts: pd.Series) -> pd.Series:
