@@ -1,13 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained here in numpy.
 
 A text's UTF-8 bytes are read in windows of STEPS; many windows, one beside the other, make up the columns of a step's
-matrices. Both directions' states label every byte position; a document's probabilities are the means over all its
-positions. Training is backpropagation through time, with Adam, on the cross-entropy of all positions.
+matrices. Each window is run with the LEAD bytes before it and behind it, so that both states come to its first and last
+positions with what they have read there; these bytes are labelled in their own windows. Both directions' states label
+every byte position; a document's probabilities are the means over all its positions. Training is backpropagation
+through time, with Adam, on the cross-entropy of all positions.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,27 +17,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import checked_broadcast, materialize, small_batches
+from tidegrid.llm.common import checked_broadcast, discard, materialize, small_batches
 
-#: Bytes of a window, units of a direction, windows in one pass, and the code of the padding behind a text's end.
-STEPS, UNITS, COLUMNS, PAD = 64, 8, 2048, 0
-#: Labelled documents of each language that training reads at most, and windows that it draws from each.
-SAMPLE, DRAWN = 250, 8
+#: Bytes of a window, bytes read on either side of it, units of a direction, windows in one pass, and the code of what lies outside a text.
+STEPS, LEAD, UNITS, COLUMNS, PAD = 96, 16, 8, 2048, 256
+#: Labelled documents of each language that training reads at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 250, 4 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def windows(text: str) -> np.ndarray:
-    """(windows, STEPS) bytes of a whole text, the last one padded."""
+    """(windows, LEAD + STEPS + LEAD) bytes of a whole text, PAD where it has none."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    out = np.zeros(-(-len(raw) // STEPS) * STEPS, np.uint8)
-    out[: len(raw)] = raw
-    return out.reshape(-1, STEPS)
+    n = -(-len(raw) // STEPS)
+    out = np.full(n * STEPS + 2 * LEAD, PAD, np.uint16)
+    out[LEAD : LEAD + len(raw)] = raw
+    return np.lib.stride_tricks.sliding_window_view(out, STEPS + 2 * LEAD)[::STEPS] if n else out[:0].reshape(0, STEPS + 2 * LEAD)
+
+
+def labelled(x: np.ndarray) -> np.ndarray:
+    """Which places of windows (steps, columns) are a text's and the window's own."""
+    real = x != PAD
+    real[:LEAD] = real[len(x) - LEAD :] = False
+    return real
 
 
 @dataclass
 class Direction:
-    inputs: np.ndarray  # (3 * UNITS, 256): for update, reset and candidate, by byte
+    inputs: np.ndarray  # (3 * UNITS, 257): for update, reset and candidate, by byte
     states: np.ndarray  # (3 * UNITS, UNITS)
 
     def run(self, x: np.ndarray, tape: list | None = None) -> np.ndarray:
@@ -75,7 +87,7 @@ class Direction:
             deep = d * (1 - z) + self.states.T @ own
             to_input[t] = np.concatenate((dz, dr, dc))
         flat, at = to_input.transpose(1, 0, 2).reshape(3 * n, -1), x.ravel()
-        return np.stack([np.bincount(at, w, 256) for w in flat]), to_states
+        return np.stack([np.bincount(at, w, 257) for w in flat]), to_states
 
 
 @dataclass
@@ -96,9 +108,9 @@ class LanguageModel:
         return s
 
     def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
-        """Language and its pooled probability; `und` with 0 for null texts and those without a letter."""
+        """Language and its pooled probability; `und` with 0 for null texts and those without a letter of any script."""
         out = [(UNKNOWN, 0.0)] * len(texts)
-        own = [i for i, t in enumerate(texts) if t and self.languages and _LETTER(t)]
+        own = [i for i, t in enumerate(texts) if t and self.languages and has_letter(t)]
         waiting: list[tuple[int, np.ndarray]] = []
         sums, counts, held = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), 0
 
@@ -107,7 +119,7 @@ class LanguageModel:
             doc = np.repeat([i for i, _ in waiting], [len(w) for _, w in waiting])
             for at in range(0, len(rows), COLUMNS):
                 x = np.ascontiguousarray(rows[at : at + COLUMNS].T)
-                real = x != PAD
+                real = labelled(x)
                 p = (self.positions(x) * real[:, None, :]).sum(0)
                 np.add.at(sums, doc[at : at + COLUMNS], p.T)
                 np.add.at(counts, doc[at : at + COLUMNS], real.sum(0))
@@ -128,17 +140,16 @@ class LanguageModel:
         return out
 
 
-def train(texts: Sequence[str], languages: Sequence[str], steps: int = 250, batch: int = 128, rate: float = 0.02, seed: int = 3) -> LanguageModel:
-    """A model from texts and their languages, by as many steps of descent however few the texts are; the same ones give the same model."""
+def train(texts: Sequence[str], languages: Sequence[str], steps: int = 250, batch: int = 96, rate: float = 0.02, seed: int = 3) -> LanguageModel:
+    """A model from whole texts and their languages, by as many steps of descent however few the texts are, over their windows in random order, with every language as often; the same texts give the same model."""
     rng = np.random.default_rng(seed)
     names = sorted(set(languages))
     small = lambda *shape: rng.normal(0, 0.3, shape)
-    ways = [Direction(small(3 * UNITS, 256), small(3 * UNITS, UNITS)) for _ in range(2)]
+    ways = [Direction(small(3 * UNITS, 257), small(3 * UNITS, UNITS)) for _ in range(2)]
     model = LanguageModel(names, ways, small(len(names), 2 * UNITS), np.zeros((len(names), 1)))
     rows, marks = [], []
     for text, language in zip(texts, languages, strict=True):
         w = windows(text)
-        w = w[np.sort(rng.permutation(len(w))[:DRAWN])]
         rows.append(w)
         marks += [names.index(language)] * len(w)
     if len(names) > 1:
@@ -157,7 +168,8 @@ def gradients(model: LanguageModel, x: np.ndarray, y: np.ndarray) -> tuple[float
     s = model.labels[:, :n] @ f + model.labels[:, n:] @ b + model.bias
     s = np.exp(s - s.max(1, keepdims=True))
     p = s / s.sum(1, keepdims=True)
-    weight = (x != PAD) / max(1, (x != PAD).sum())
+    real = labelled(x)
+    weight = real / max(1, real.sum())
     picked = np.take_along_axis(p, np.broadcast_to(y, x.shape)[:, None, :], 1)[:, 0]
     d = p.copy()
     d[:, y, np.arange(len(y))] -= 1
@@ -173,11 +185,12 @@ def parameters(model: LanguageModel) -> list[np.ndarray]:
 
 
 def _descend(model: LanguageModel, rows: np.ndarray, marks: np.ndarray, steps: int, batch: int, rate: float, rng: np.random.Generator) -> None:
-    own, order = parameters(model), np.empty(0, np.int64)
+    own, order, each = parameters(model), np.empty(0, np.int64), [np.flatnonzero(marks == k) for k in range(len(model.languages))]
     first, second = [np.zeros_like(w) for w in own], [np.zeros_like(w) for w in own]
     for k in range(1, steps + 1):
         if len(order) < batch:
-            order = np.concatenate((order, rng.permutation(len(rows))))
+            most = max(map(len, each))
+            order = np.concatenate((order, rng.permutation(np.concatenate([np.resize(rng.permutation(e), most) for e in each]))))
         pick, order = order[:batch], order[batch:]
         _, grads = gradients(model, np.ascontiguousarray(rows[pick].T), marks[pick])
         norm = np.sqrt(sum((g**2).sum() for g in grads))
@@ -193,19 +206,29 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Trains on at most `sample` texts of each language, by a hash of their keys, from rows that are not held out and have a language and a letter."""
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(language).alias("l")).filter(~held_out(F.col("k")) & F.col("l").isNotNull())
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
+    """Trains on rows that are not held out and have a language and a text with a letter: of each language those that come first by a hash of their keys, at most `sample` rows and `sample_bytes` bytes of whole texts.
+
+    That bounds what the driver gets for a language. Rows that repeat a key count one by one."""
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(language).alias("l")).filter(~held_out(F.col("k")) & F.col("l").isNotNull() & F.col("t").isNotNull())
     order = Window.partitionBy("l").orderBy("h", "k")
     drawn = own.select("k", "l", F.xxhash64("k", F.lit(13)).alias("h")).withColumn("i", F.row_number().over(order)).filter(F.col("i") <= sample)
     drawn = materialize(drawn.select("k", "l").distinct(), "language-sample")
-    rows = own.join(checked_broadcast(drawn, 48), ["k", "l"]).select("k", "l", "t").collect()
-    rows = sorted((r for r in rows if r["t"] and _LETTER(r["t"])), key=lambda r: (r["k"] is None, r["k"], r["t"]))
+    rows = own.withColumnsRenamed({"k": "key", "l": "lang"}).join(checked_broadcast(drawn, 48), F.col("key").eqNullSafe(F.col("k")) & (F.col("lang") == F.col("l"))).select("k", "l", "t")
+    order = Window.partitionBy("l").orderBy(F.xxhash64("k", F.lit(13)), "k", F.xxhash64("t"))
+    so_far = F.sum(F.octet_length("t")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= sample).withColumn("bytes", so_far).filter(F.col("bytes") <= sample_bytes)
+    rows = rows.select("k", "l", "t").collect()
+    discard(drawn)
+    rows = sorted((r for r in rows if has_letter(r["t"])), key=lambda r: (r["k"] is None, r["k"], r["t"]))
     return train([r["t"] for r in rows], [r["l"] for r in rows])
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:
-    """docs with a struct (lang_pred, score) for each whole text."""
+    """docs with a struct (lang_pred, score) for each whole text in the column `into`, which replaces one of that name; other columns pass through.
+
+    Null, empty and letterless texts are `und` with score 0. Equal rows get equal results; an empty table stays empty. Every
+    byte of a text is read, however long it is; a model without languages says `und`."""
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
