@@ -169,9 +169,9 @@ def test_line_dedup_of_mostly_boilerplate(documents):
 
 
 def test_bpe_equals_the_library():
-    own, r = bpe.ForcedBoundaryBPE(TOKENIZER), random.Random(5)
+    own, r = bpe.coder(TOKENIZER), random.Random(5)
     parts = ["a", "b'", "'s", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", " ", "à", "à ", "ñ", "日本", "1", "<|endoftext|>", "<|", "#", "😀", "é", " the", "word.", " Ǆ"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3000)] + ["x" * 5000, "à la " * 500]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3000)] + ["x" * 5000, "à la " * 500, "".join(r.choice("etaoinshr") for _ in range(3000)), "ab" * 400 + "!?" * 300]
     for t in texts:
         ids = own.tokenizer.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == np.array(ids, "<u4").tobytes(), t
@@ -482,11 +482,26 @@ def test_language(documents):
     assert langid.fit(docs.filter("false")).predict(["text"]) == [("und", 0.0)]
 
 
+def test_language_of_awkward_rows(documents):
+    """Signs that aren't letters, repeated rows, null keys, NUL bytes, clashing columns, an empty table, a very long text."""
+    texts = [(i, "the on thing and so" if i % 2 else "über schön für ung") for i in range(60)]
+    more = [(60, "½ ² ① Ⅷ 3"), (61, "日本"), (62, "the\0on\0thing"), (1, texts[1][1]), (None, "the on"), (None, None), (63, "the on thing " * 50_000)]
+    docs = documents([*texts, *more], lang=["en" if i % 2 else "de" for i in range(60)] + [None] * len(more)).withColumn("language", F.lit("clash")).withColumn("t", F.lit(1))
+    model = langid.fit(docs, sample=20, sample_bytes=500)
+    out = langid.with_language(docs, model).collect()
+    by = {x["doc_id"]: x["language"]["lang_pred"] for x in out}
+    assert len(out) == 67 and by[60] == "und" and by[61] in ("en", "de") and by[62] == by[63] == "en"
+    assert len({str(x["language"]) for x in out if x["doc_id"] == 1}) == 1
+    assert langid.with_language(docs.filter("false"), model).count() == 0
+    x = langid.windows("é" * 200)
+    assert x[:, langid.LEAD : langid.LEAD + langid.STEPS].ravel()[:400].tolist() == list(("é" * 200).encode())
+
+
 def test_gru_gradients():
     rng = np.random.default_rng(14)
-    way = lambda: langid.Direction(rng.normal(0, 0.3, (24, 256)), rng.normal(0, 0.3, (24, 8)))
+    way = lambda: langid.Direction(rng.normal(0, 0.3, (24, 257)), rng.normal(0, 0.3, (24, 8)))
     model = langid.LanguageModel(["a", "b", "c"], [way(), way()], rng.normal(0, 0.3, (3, 16)), np.zeros((3, 1)))
-    x, y = rng.integers(0, 5, (12, 6)).astype(np.uint8), rng.integers(0, 3, 6)
+    x, y = rng.integers(0, 5, (12 + 2 * langid.LEAD, 6)).astype(np.uint16), rng.integers(0, 3, 6)
     _, grads = langid.gradients(model, x, y)
     for w, g in zip(langid.parameters(model), grads):
         at = tuple(rng.integers(0, min(5, k)) for k in w.shape)
@@ -499,5 +514,5 @@ def test_gru_gradients():
 
 
 def test_digest_of_ids():
-    own = bpe.ForcedBoundaryBPE(TOKENIZER)
+    own = bpe.coder(TOKENIZER)
     assert hashlib.sha256(own.encode("a b")).hexdigest() == hashlib.sha256(np.array(own.tokenizer.encode("a b").ids, "<u4").tobytes()).hexdigest()

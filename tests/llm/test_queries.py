@@ -43,9 +43,10 @@ def test_op1(spark, sf, texts):
 
 
 def test_op3(spark, sf, texts):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(TOKENIZER)
+    own = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
     for x in QUERIES["op3_bpe_round_trip"](spark, sf).collect():
         ids = own.encode(texts[x["doc_id"]], add_special_tokens=False).ids
         assert (x["n_tokens"], x["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())

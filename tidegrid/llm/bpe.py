@@ -1,13 +1,15 @@
-"""Byte-pair encoding and decoding with the vocabulary of a byte-level tokenizer file.
+"""Byte-pair encoding and decoding with the vocabulary and merges of a byte-level tokenizer file.
 
-Forced boundaries: a pair of neighbouring bytes that no vocabulary token holds can never be merged, so the text is
-cut there; fragments are encoded on their own, each distinct one once, and their ids are concatenated. Of the forced
-cuts only those in front of white space that follows other text are used, since the tokenizer's word splitting ends a
-word at each of them too, so that nothing else that it looks at is changed by the cut.
+Forced boundaries: no merge can join two neighbouring bytes that stand side by side in no vocabulary token, so a text
+may be cut there; fragments are encoded on their own, each distinct one once, and their ids are concatenated. They are
+used twice. A whole text is cut at those in front of white space, where the tokenizer's splitting into words, which
+looks at what lies around, is not changed by the cut. Words are then cut at all of them, and what is left is merged here,
+in the order of the file's merges.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from array import array
@@ -16,21 +18,27 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import small_batches
 
-#: Distinct fragments that a worker remembers, and the longest of them in characters.
-CACHE_ROWS, CACHE_CHARS = 100_000, 48
+#: Distinct fragments, and words, that a worker remembers, and the longest of them in characters.
+CACHE_ROWS, CACHE_CHARS = 200_000, 48
+#: Symbols up to which all places of the best pair are merged at once; longer fragments take a heap of pairs.
+SCAN = 64
+#: Bits of an id in a number that holds two; what no merge's number reaches.
+BITS, NEVER = 24, 1 << 62
+LAST = (1 << BITS) - 1
 
 
 #: How byte-level tokenizers split a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-#: A fragment of one word and the marks after it, in which the words' splitting is plain.
+#: A fragment of one Latin word and the marks after it, which such a splitter takes apart there and nowhere else.
 _WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)?((?(1)| ?)[.,;:!?|]+)?\Z").match
+#: Letters whose classes no version of Unicode changes: in such text the words are split here, in other by the file's own splitter.
+_OTHER = re.compile("[^\x00-\u024f]").search
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -57,43 +65,106 @@ class ForcedBoundaryBPE:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        model, added = spec["model"], spec["added_tokens"]
+        plain = not spec["normalizer"] and spec["pre_tokenizer"].get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not model.get("ignore_merges")
+        if not plain or any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added):
+            raise ValueError(f"{path} is not a plain byte-level tokenizer")
         stand = _byte_of_char()
         self.bytes_of: list[bytes] = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
         inside = np.zeros((256, 256), bool)
-        for token, i in spec["model"]["vocab"].items():
-            self.bytes_of[i] = raw = bytes(stand[c] for c in token)
+        for token, i in [*model["vocab"].items(), *((a["content"], a["id"]) for a in added)]:
+            known = all(c in stand for c in token)
+            self.bytes_of[i] = raw = bytes(stand[c] for c in token) if known else token.encode()
             inside[list(raw[:-1]), list(raw[1:])] = True
-        for added in spec["added_tokens"]:
-            self.bytes_of[added["id"]] = raw = added["content"].encode()
-            inside[list(raw[:-1]), list(raw[1:])] = True
-        plain = not spec["normalizer"] and spec["pre_tokenizer"].get("type") == "ByteLevel" and not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in spec["added_tokens"])
-        self.fragments = _splitter(inside) if plain else lambda text: [text]
-        vocab = spec["model"]["vocab"]
-        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        first = len(vocab) - len(merges)
-        self.quick = None
-        if plain and len(vocab) == first + len(merges) and first == 256 and all(vocab[a + b] == first + i for i, (a, b) in enumerate(merges)):
-            import tiktoken
-
-            ranks = {raw: i for i, raw in enumerate(self.bytes_of[: len(vocab)])}
-            own = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-            self.quick, self.one = own.encode_ordinary, own._core_bpe.encode_single_piece
-        self.odd = re.compile(f"[^\\x00-\\u024f]|{'|'.join(re.escape(a['content']) for a in spec['added_tokens']) or '(?!)'}").search
+        for a in added:
+            self.bytes_of[a["id"]] = a["content"].encode()
+        vocab = model["vocab"]
+        self.byte_id = [vocab.get(c) for c, _ in sorted(stand.items(), key=lambda x: x[1])]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        #: Of two ids side by side, as one number: the merge's rank and, in the last BITS, the id of both.
+        self.merges = {vocab[a] << BITS | vocab[b]: rank << BITS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
+        self.joined = inside.tolist()
+        self.fragments = _splitter(inside)
+        self.added = {a["content"]: a["id"] for a in added}
+        self.special = re.compile("|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) or "(?!)")
+        self.words = regex.compile(WORDS).findall
         self.known: dict[str, bytes] = {}
+        self.known_words: dict[str, list[int]] = {}
+
+    def merged(self, raw: bytes) -> list[int]:
+        """Ids of bytes without a forced boundary among them: of all pairs side by side the leftmost of the least rank is merged, until none is left."""
+        get, ids = self.merges.get, [self.byte_id[b] for b in raw]
+        if len(ids) > SCAN:
+            return self._merged_by_heap(ids)
+        ranks = [get(a << BITS | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != NEVER:
+            i = ranks.index(best)
+            ids[i] = new = best & LAST
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << BITS | new, NEVER)
+            if i < len(ranks):
+                ranks[i] = get(new << BITS | ids[i + 1], NEVER)
+        return ids
+
+    def _merged_by_heap(self, ids: list[int]) -> list[int]:
+        get, n = self.merges.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i) for i in range(n - 1) if (m := get(ids[i] << BITS | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            best, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or get(ids[i] << BITS | ids[j]) != best:
+                continue  # one of the two has been merged with another one
+            new = best & LAST
+            ids[i], ids[j] = new, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (m := get(new << BITS | ids[k])) is not None:
+                    heapq.heappush(heap, (m, i))
+            if (h := before[i]) >= 0 and (m := get(ids[h] << BITS | new)) is not None:
+                heapq.heappush(heap, (m, h))
+        return [x for x in ids if x >= 0]
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of one word, cut at its forced boundaries."""
+        if found := self.known_words.get(word):
+            return found
+        raw, joined, out, at = word.encode("utf-8", "surrogatepass"), self.joined, [], 0
+        for i in range(1, len(raw)):
+            if not joined[raw[i - 1]][raw[i]]:
+                out += self.merged(raw[at:i])
+                at = i
+        out += self.merged(raw[at:])
+        if len(word) <= CACHE_CHARS:
+            if len(self.known_words) >= CACHE_ROWS:
+                self.known_words.clear()
+            self.known_words[word] = out
+        return out
 
     def _fresh(self, fragment: str) -> bytes:
-        """Merges in id order give the same ids as merges by rank, which the quick coder does; it gets what both libraries split alike: Latin text without added tokens."""
-        if self.quick and (m := _WORD(fragment)):
-            word, marks = m.groups()
-            ids = array("I", self.one(word.encode()) if word else ())
-            if marks:
-                ids.extend(self.one(marks.encode()))
-        else:
-            quick = self.quick and not self.odd(fragment)
-            ids = array("I", self.quick(fragment) if quick else self.tokenizer.encode(fragment, add_special_tokens=False).ids)
-        ids = ids.tobytes()
+        ids, at = array("I"), 0
+        if one := _WORD(fragment):
+            for word in one.groups():
+                if word:
+                    ids.extend(self._word(word))
+            return self._remember(fragment, ids.tobytes())
+        for m in [*self.special.finditer(fragment), None]:
+            part = fragment[at : m.start() if m else None]
+            words = [part[a:b] for _, (a, b) in self.split(part)] if _OTHER(part) else self.words(part)
+            for word in words:
+                ids.extend(self._word(word))
+            if m:
+                ids.append(self.added[m[0]])
+                at = m.end()
+        return self._remember(fragment, ids.tobytes())
+
+    def _remember(self, fragment: str, ids: bytes) -> bytes:
         if len(fragment) <= CACHE_CHARS:
             if len(self.known) >= CACHE_ROWS:
                 self.known.clear()
@@ -110,13 +181,20 @@ class ForcedBoundaryBPE:
 
 
 @cache
-def coder(path: str) -> ForcedBoundaryBPE:
-    """One coder for each worker process and file."""
-    return ForcedBoundaryBPE(path)
+def coder(file: str) -> ForcedBoundaryBPE:
+    """One coder for each worker process and file: a name among the public tokenizers, whose place each machine knows for itself, or a path."""
+    if "/" in file:
+        return ForcedBoundaryBPE(file)
+    import public_tokenizers
+
+    return ForcedBoundaryBPE(public_tokenizers.path(file))
 
 
 def encode_column(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """docs with the token ids of `text` as array<int>; null and empty texts have none. Other columns pass through."""
+    """docs with the token ids of `text` as array<int> in the column `into`, which replaces one of that name; `path` is a file of coder().
+
+    Null and empty texts have no ids. Equal rows get equal ids, an empty table stays empty, other columns pass through. A
+    text is encoded whole, however long; one batch of texts and their ids is held by a task."""
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
@@ -128,7 +206,7 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", into: str = "i
 
 
 def decode_column(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """docs with the text of the ids; null as empty."""
+    """docs with the text of the ids in the column `into`, which replaces one of that name; null as empty. Bytes that aren't UTF-8 become U+FFFD."""
 
     @F.pandas_udf("string")
     def decode(rows: pd.Series) -> pd.Series:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +17,8 @@ from tidegrid.llm.line_dedup import line_dedup
 from tidegrid.llm.simhash import simhash_groups
 from tidegrid.llm.suffix_dedup import suffix_dedup
 
-TOKENIZER = os.environ.get("TIDEGRID_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: A file of the public tokenizers; its place is looked up where it is read.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
