@@ -86,20 +86,20 @@ def checked_broadcast(df: DataFrame, row_bytes: int | Column, limit: int = BROAD
     return F.broadcast(df) if size <= limit else df
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, on: Sequence[str], count: str) -> DataFrame:
-    """rows joined to groups, which have one row for each key with `count`, the number of rows that hold the key.
+def hot_join(rows: DataFrame, groups: DataFrame, on: Sequence[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to groups, which have one row for each key with `count`, the number of rows that hold the key.
 
     A key that holds more than one in HOT_KEYS of these rows is hot. There are at most HOT_KEYS such keys however large the
     tables are, so that part of groups is broadcast and hot rows stay where they are; the others are shuffled."""
     total = groups.agg(F.sum(count)).first()[0] or 0
-    hot = groups.filter(F.col(count) > max(total / HOT_KEYS, 1000))
-    if not hot.limit(1).count():
-        return rows.join(groups, list(on))
+    hot = F.col(count) > max(total / HOT_KEYS, 1000)
+    if not groups.filter(hot).limit(1).count():
+        return rows.join(groups, list(on), how)
     names = [c for c in groups.columns if c not in on]
-    tagged = hot.select(*on, F.struct(F.lit(True).alias("hot"), *names).alias("__hot"))
+    tagged = groups.filter(hot).select(*on, F.struct(F.lit(True).alias("hot"), *names).alias("__hot"))
     marked = rows.join(F.broadcast(tagged), list(on), "left")
     split = marked.filter("__hot is not null").select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in names])
-    usual = marked.filter("__hot is null").select(*rows.columns).join(groups.filter(F.col(count) <= max(total / HOT_KEYS, 1000)), list(on))
+    usual = marked.filter("__hot is null").select(*rows.columns).join(groups.filter(~hot), list(on), how)
     return usual.select(*split.columns).unionByName(split)
 
 
