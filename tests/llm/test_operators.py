@@ -144,6 +144,16 @@ def test_exact_dedup(documents):
     assert [tuple(x) for x in exact_dedup(documents([(1, "a"), (1, "a")])).collect()] == [(1, 1, 2, True)] * 2
 
 
+def test_exact_dedup_of_awkward_rows(documents):
+    """Null keys, very long texts that differ at the end, one key with an open and a single text, clashing columns."""
+    long = "word " * 60_000
+    rows = [(None, "a"), (4, "a"), (None, "b"), (5, long + "x"), (6, long + "y"), (7, long + "x"), (4, "single text")]
+    df = documents(rows).withColumn("__len", F.lit(1)).withColumn("kept", F.lit(2))
+    out = exact_dedup(df, carry=["lang"], derive={"size": F.length("__norm")})
+    got = sorted(((x["doc_id"], x["keep_id"], x["group_size"], x["kept"], x["size"]) for x in out.collect()), key=str)
+    assert got == sorted([(None, 4, 2, False, 1), (4, 4, 2, True, 1), (None, None, 1, True, 1), (5, 5, 2, True, 300_001), (6, 6, 1, True, 300_001), (7, 5, 2, False, 300_001), (4, 4, 1, True, 11)], key=str)
+
+
 def test_line_dedup(documents):
     own = [f"own text of document {i} that is long enough" for i in range(6)]
     texts = [f"{o}\n Terms of use \n\nlast {i}" for i, o in enumerate(own)] + ["Terms of use", None, "", own[0]]
@@ -165,6 +175,14 @@ def test_line_dedup_of_mostly_boilerplate(documents):
     assert got[4]["text"] == license and got[4]["n_removed"] == 0
 
 
+def test_line_dedup_of_awkward_rows(documents):
+    """Repeated rows, null keys, ties of lines within a text, and a text of very many lines."""
+    rows = [(1, "a\nx\nx\nown"), (1, "a\nx\nx\nown"), (None, "x\nleft"), (None, None), (2, "x\n" * 20_000 + "end"), (3, "x")]
+    df = documents(rows, source=["s", "s", "t", "t", "u", "v"]).withColumn("n_lines", F.lit("clash")).withColumn("cut", F.lit(1))
+    got = sorted(((x["doc_id"], x["text"], x["n_lines"], x["n_removed"]) for x in line_dedup.line_dedup(df, min_sites=4).collect()), key=str)
+    assert got == sorted([(1, "a\nown", 4, 2)] * 2 + [(None, "left", 2, 1), (None, None, 1, 0), (2, "end", 20_001, 20_000), (3, "x", 1, 0)], key=str)
+
+
 # ---- byte-pair coding --------------------------------------------------------------------------------------------
 
 

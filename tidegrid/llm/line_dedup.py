@@ -34,23 +34,23 @@ def spread_lines(docs: DataFrame, site: str = "source", text: str = "text", min_
     return sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("h", "n"))
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = 8, most: float | None = None) -> DataFrame:
-    """docs with spread lines cut from `text`, and n_lines and n_removed (longs).
+def line_dedup(docs: DataFrame, key: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = 8) -> DataFrame:
+    """docs with spread lines cut from `text`, and n_lines and n_removed (longs), which replace columns of these names.
 
     A document of spread lines only would become empty and stays as it is: removing whole copies is for the operators
-    on documents. With `most`, so does one where they hold more than that part of its bytes in lines, though it has
-    other text. Null texts stay null. Rows that repeat a key and text are treated alike."""
+    on documents. Null texts stay null, blank lines stay. Equal lines of one document are cut alike; rows that repeat a key and
+    text are treated alike; null keys are keys. Other columns pass through; an empty table stays empty. A text's lines are
+    handled as rows until what is cut is known; only for a document with cuts a number for each is gathered again."""
     spread = materialize(spread_lines(docs, site, text, min_sites), "line-boilerplate")
     own = docs.select(F.col(key).alias("__key"), F.xxhash64(F.col(text)).alias("__text"), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
     line = F.btrim(F.col("line"), F.lit(_BLANK))
     own = own.select("__key", "__text", "pos", F.xxhash64(line).alias("h"), F.octet_length(line).alias("n"))
     hit = own.join(checked_broadcast(spread.withColumn("cut", F.lit(True)), 24), ["h", "n"], "left")
-    marks = hit.groupBy("__key", "__text").agg(F.collect_set(F.struct("pos", "n", F.coalesce("cut", F.lit(False)).alias("cut"))).alias("marks"), F.max("cut").alias("any"))
-    total = lambda which: F.aggregate(F.filter("marks", which), F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    cut, whole = total(lambda x: x["cut"]), total(lambda x: F.lit(True))
-    marks = marks.filter("any").filter(cut < whole if most is None else cut <= most * whole)
-    marks = materialize(marks.select("__key", "__text", F.transform(F.array_sort("marks"), lambda x: x["cut"]).alias("__cut")), "line-marks")
-    named = checked_broadcast(marks, 256)
+    # of each document with cuts and other text, which of its lines go; repeated rows say the same twice, which a set ignores
+    each, other = F.struct("pos", F.coalesce("cut", F.lit(False)).alias("cut")), (F.col("n") > 0) & F.col("cut").isNull()
+    marks = hit.groupBy("__key", "__text").agg(F.collect_set(each).alias("marks"), F.bool_or(F.coalesce("cut", F.lit(False))).alias("any"), F.bool_or(other).alias("other"))
+    marks = materialize(marks.filter("any and other").select("__key", "__text", F.transform(F.array_sort("marks"), lambda x: x["cut"]).alias("__cut")), "line-marks")
+    named = checked_broadcast(marks, 48 + F.size("__cut"))
     met = docs.join(named, docs[key].eqNullSafe(F.col("__key")) & (F.xxhash64(docs[text]) == F.col("__text")), "left")
     kept = F.array_join(F.filter(_lines(F.col(text)), lambda x, i: ~F.get("__cut", i)), "\n")
     n_lines, n_cut = F.size(_lines(F.col(text))).cast("long"), F.size(F.filter("__cut", lambda x: x)).cast("long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import bpe, chat, langid, mixing, toxicity, topk
-from tidegrid.llm.common import load, normalised, small_batches
+from tidegrid.llm.common import load, small_batches
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.line_dedup import line_dedup
 from tidegrid.llm.simhash import simhash_groups
@@ -28,8 +28,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"))
-    return exact_dedup(docs, carry=["text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    """Exact copies; every text's digest, which the contract asks for, comes from the pass that takes lengths and prefixes."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = exact_dedup(docs, derive={"text_sha256": F.sha2(F.col("__norm").cast("binary"), 256)})
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str = TOKENIZER) -> DataFrame:
@@ -57,8 +59,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines on 8 sources or more are cut, as the SQL has it: not from documents more than half of which they are."""
-    out = line_dedup(load(spark, sf_dir, "documents"), min_sites=8, most=0.5)
+    """Lines on 8 sources or more are cut, but from documents that consist of such lines."""
+    out = line_dedup(load(spark, sf_dir, "documents"), min_sites=8)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -139,8 +141,7 @@ ORACLE_SQL: dict[str, str] = {
         t AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS own FROM l),
         s AS (SELECT own FROM t WHERE own <> '' GROUP BY own HAVING count(DISTINCT coalesce('s' || source, '')) >= 8),
         m AS (SELECT t.*, s.own IS NOT NULL AS hit FROM t LEFT JOIN s ON t.own = s.own),
-        d AS (SELECT *, sum(CASE WHEN hit THEN strlen(own) ELSE 0 END) OVER w <= 0.5 * sum(strlen(own)) OVER w AS cuts
-              FROM m WINDOW w AS (PARTITION BY doc_id))
+        d AS (SELECT *, bool_or(own <> '' AND NOT hit) OVER (PARTITION BY doc_id) AS cuts FROM m)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit AND cuts) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (hit AND cuts)), '')) AS kept_sha256
         FROM d GROUP BY doc_id""",
