@@ -5,6 +5,8 @@ between 0 and the document's size, is rounded in pairs: words move from one docu
 random direction whose odds keep each expected mass, until one of the two is left out or taken whole. The other goes on
 to the next pair. The words of a pair stay the same in sum, so a source misses its target by one document at most.
 Blocks of about BLOCK documents are rounded on their own; what each leaves over meets in blocks of the level above.
+Rows that repeat a key and size are one item: among equal masses rounding in pairs leaves as many whole ones as fit and
+one rest, which is what goes on, so that a hot key is one number.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most:
 
     Targets share the whole size by the repeating weights; none is above `most` times its source's size, and what it
     would have beyond that goes to the others by weight. With sources in the order of limit / weight, the limited
-    ones come first; the first that is not limited sets the words per weight of all that follow."""
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    ones come first; the first that is not limited sets the words per weight of all that follow. Their order is that of
+    all sources, so one task sorts them: a row of a few bytes for each source."""
+    return _targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, most)
+
+
+def _targets(by: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
     order = Window.orderBy(F.col("source").isNull(), "source")
     place = F.row_number().over(order) - 1
     by = by.withColumn("place", place).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("place", F.lit(len(weights))) + 1))
@@ -67,20 +73,35 @@ def _round_block(items: str, level: int, seed: int) -> str:
         else {then(carry("s.c", "s.c.mass - (x.size - x.mass)"), say("x", 1))} end)"""
 
 
-def mix_sizes(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17, block: int = BLOCK) -> DataFrame:
-    """From (key, source, size): key, size, source_size, target, copies, taken, a row for each row.
+def _repeated(rows: DataFrame, count: str, chunk: int = 4096) -> DataFrame:
+    """rows, each `count` times, without that column; no array holds more than `chunk` of them."""
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / chunk)))
+    rows = rows.filter(F.col(count) > 0).withColumn("__at", at)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(chunk).cast("long"), F.col(count) - F.col("__at") * chunk)))
+    return rows.withColumn("__each", each).drop("__at", "__each", count)
 
-    Empty documents (size 0) get the certain copies only and take no words. Rows that repeat a key are rounded one by
-    one. The same rows give the same mix, in whatever order and partitions they come."""
-    targets = materialize(source_targets(sizes, weights, most), "mix-targets")
+
+def mix_sizes(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17, block: int = BLOCK) -> DataFrame:
+    """From (key, source, size): key, source, size, source_size, target, copies, taken, a row for each row.
+
+    Empty documents (size 0) get the certain copies only and take no words. Null keys and sources are a key and a source.
+    Rows that repeat a key are rounded together, each of them to one copy more or less. The same rows give the same
+    mix, in whatever order and partitions they come. An empty table gives an empty result."""
+    items = materialize(sizes.groupBy("source", "key", "size").agg(F.count(F.lit(1)).alias("m")), "mix-items")
+    by = items.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n"))
+    targets = materialize(_targets(by, weights, most), "mix-targets")
     top = targets.agg(F.max("n")).first()[0]
     if top is None:
-        return sizes.select("key", "size", F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"))
-    t = checked_broadcast(targets.withColumnRenamed("source", "__source"), 128)
-    rows = sizes.join(t, sizes["source"].eqNullSafe(F.col("__source")))
+        none = {"source_size": "long", "target": "double", "copies": "int", "taken": "long"}
+        return items.select("key", "source", "size", *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
+    t = checked_broadcast(targets.withColumnRenamed("source", "__source"), 64 + F.coalesce(F.octet_length(F.col("__source").cast("string")), F.lit(0)))
+    rows = items.join(t, items["source"].eqNullSafe(F.col("__source")))
     ratio = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("target") / F.col("source_size"), F.lit(float(most))))
-    rows = rows.withColumn("ratio", ratio).withColumn("base", F.floor("ratio").cast("int")).withColumn("mass", (F.col("ratio") - F.col("base")) * F.col("size"))
-    keys = ["place", "source_size", "target", "base"]
+    rows = rows.withColumn("ratio", ratio).withColumn("base", F.floor("ratio").cast("int"))
+    parts = F.when(F.col("size") > 0, (F.col("ratio") - F.col("base")) * F.col("m")).otherwise(0.0)
+    whole = F.floor(F.col("parts") + 1e-9 * F.col("m")).cast("long")
+    rows = rows.withColumn("parts", parts).withColumn("whole", whole).withColumn("mass", F.greatest((F.col("parts") - F.col("whole")) * F.col("size"), F.lit(0.0)))
+    keys = ["place", "source", "source_size", "target", "base"]
     n_blocks = F.ceil(F.col("n") / block)
     # an item's place in its block comes from its size first, so that documents of like size are paired
     first = rows.filter("mass > 0").groupBy(*keys, F.pmod(F.xxhash64("key", "size", F.lit(seed)), n_blocks).alias("block"))
@@ -94,17 +115,34 @@ def mix_sizes(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: floa
         k, blocks = k + 1, -(-blocks // block)
         level = done.groupBy(*keys, F.floor(F.col("block") / block).alias("block")).agg(F.array_sort(F.collect_list("r.c")).alias("items"))
     last = done.select(*keys, F.col("r.c.key").alias("key"), F.col("r.c.size").alias("size"), (_uniform(F.col("r.c.key"), F.lit(seed), F.lit(-1)) * F.col("r.c.size") < F.col("r.c.mass")).cast("int").alias("take"))
-    certain = rows.filter("mass <= 0").select(*keys, "key", "size", F.lit(0).alias("take"))
-    out = certain.unionByName(last)
-    for d in decided:
+    rest = F.col("m") - F.col("whole") - (F.col("mass") > 0).cast("long")
+    sure = F.explode(F.array(F.struct(F.lit(1).alias("take"), F.col("whole").alias("times")), F.struct(F.lit(0).alias("take"), rest.alias("times"))))
+    out = _repeated(rows.select(*keys, "key", "size", sure.alias("s")).select(*keys, "key", "size", "s.*"), "times")
+    for d in (last, *decided):
         out = out.unionByName(d)
     copies = F.col("base") + F.col("take")
-    return out.select("key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows that repeat a key are taken alike, as often as the first decided."""
-    sizes = docs.select(F.col(key).cast("long").alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    copies = mix_sizes(sizes, **how).filter("copies > 0").groupBy("key").agg(F.max("copies").alias("__copies")).withColumnRenamed("key", "__key")
-    taken = docs.join(copies, docs[key].cast("long").eqNullSafe(F.col("__key")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__key", "__copies", "__copy")
+    """docs with each row as often as the mix takes it; null texts count as empty, null keys and sources are a key and a source.
+
+    Rows that repeat a key, source and size share their copies evenly; equal ones are one row that stands there as often as
+    their sum says. Other columns pass through, whatever their names; an empty table stays empty."""
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(key).cast("long").alias("k"), F.col(source).alias("s"), word_count(F.col(text)).alias("z"))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    mixed = mix_sizes(named.select(F.col("k").alias("key"), F.col("s").alias("source"), F.col("z").alias("size")), **how)
+    shares = mixed.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("m"), F.sum("copies").cast("long").alias("copies"))
+    shares = materialize(shares.filter("copies > 0"), "mix-shares")
+    size = 64 + F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0))
+    same = lambda: F.col("k").eqNullSafe(F.col("key")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size"))
+    once = _repeated(named.join(checked_broadcast(shares.filter("m = 1"), size), same()).select(*own, "copies"), "copies")
+    again = shares.filter("m > 1")
+    if again.limit(1).count():
+        met = named.join(checked_broadcast(again, size), same()).groupBy(*own, "key", "source", "size", "m", "copies").agg(F.count(F.lit(1)).alias("r"))
+        order = Window.partitionBy("key", "source", "size").orderBy(F.xxhash64(*own), *own)
+        before = F.coalesce(F.sum("r").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        extra = F.greatest(F.least(F.pmod("copies", "m") - before, F.col("r")), F.lit(0))
+        met = met.withColumn("times", F.col("r") * F.floor(F.col("copies") / F.col("m")) + extra)
+        once = once.unionByName(_repeated(met.select(*own, "times"), "times"))
+    return once.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
