@@ -244,6 +244,24 @@ def test_mix(documents):
     assert mixing.mix_documents(df, block=16).count() == sum(x["copies"] for x in rows)
 
 
+def test_mix_of_a_hot_key(documents, spark):
+    """A key that a third of all rows repeat, and null keys: each row counts, and the target is met."""
+    rows = [(7, "a b c d e")] * 3000 + [(None, "x y")] * 11 + [(100 + i, prose(random.Random(i), 9)) for i in range(900)]
+    df = documents(rows, source=["s" if i % 2 else "t" for i in range(len(rows))]).withColumn("copies", F.lit("clash"))
+    sizes = df.select(F.col("doc_id").alias("key"), "source", mixing.word_count(F.col("text")).alias("size"))
+    got = mixing.mix_sizes(sizes, block=16).collect()
+    assert len(got) == len(rows)
+    for s in "st":
+        own = [x for x in got if x["source"] == s]
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 9
+        assert len({x["copies"] for x in own if x["key"] == 7}) <= 2
+    out = mixing.mix_documents(df, block=16)
+    assert out.columns == df.columns and out.count() == sum(x["copies"] for x in got)
+    assert Counter(x["source"] for x in out.filter("doc_id = 7").collect()) == Counter({s: sum(x["copies"] for x in got if x["source"] == s and x["key"] == 7) for s in "st"})
+    assert mixing.mix_documents(df.filter("false")).count() == 0
+    assert mixing.mix_documents(documents([(1, "w " * 200_000), (2, "a")], source=["a", "b"])).count() >= 1
+
+
 def test_pairs_keep_words_and_odds(spark):
     """Every block keeps its words, and a document is taken about as often as its mass says."""
     taken, n = Counter(), 300
@@ -377,6 +395,22 @@ def test_topk(spark):
     assert topk.exact_topk(own.filter("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_topk_of_awkward_rows(spark):
+    """Numbers that don't fit, repeated rows, null keys, empty vectors; and clusters, where bounds leave few pairs."""
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.5, 0.5]), (None, [1.0, 1.0]), (50, []), (51, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
+    own = df.select("vec_id", topk.floor_components(F.col("embedding")).alias("v"), "rank")
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.exact_topk(own, F.col("vec_id") % 50 == 0, 5).collect()}
+    assert got == {(0, 1): (1, 2**63 - 1), (0, 2): (3, 2**63 - 1), (0, 3): (2, -(2**63)), (0, 4): (2, -(2**63)), (50, 1): (51, 0)}
+    rng = np.random.default_rng(19)
+    v = (rng.integers(-400, 400, (40, 64))[rng.integers(0, 40, 1500)] + rng.integers(-3, 4, (1500, 64))).astype(np.int64)
+    slot = topk.Slot(np.arange(1500), v)
+    q, c, s = slot.top(np.arange(0, 1500, 100), v[::100], 5)
+    for i in range(0, 1500, 100):
+        want = sorted((-int(v[i] @ v[j]), j) for j in range(1500) if j != i)[:5]
+        assert [(-x, j) for j, x in zip(c[q == i].tolist(), s[q == i].tolist())] == want
+
+
 # ---- trained models ----------------------------------------------------------------------------------------------
 
 

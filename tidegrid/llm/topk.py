@@ -3,7 +3,8 @@
 A vector's segments are described by mean and deviation (the norm of what is left after the mean). The inner product of
 two segments of n components is at most n * mean * mean + deviation * deviation, which is the same as a lower bound of
 the distance; summed over segments it bounds the score. Coarse bounds drop candidates first, finer ones more, and
-exact scores are computed for what is left.
+exact scores are computed for what is left: for each query its own pairs where few are left, else the queries' and
+candidates' matrices at once.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import materialize
 
-#: Candidates that one task holds, queries that it scores at once, segments of a vector from coarse to fine.
-SLOT_ROWS, QUERY_ROWS, LEVELS = 8192, 256, (4, 16)
+#: Candidates that one task holds, queries that it scores at once, segments of a vector from coarse to fine, and the part of pairs above which a product of matrices is quicker than pairs one by one.
+SLOT_ROWS, QUERY_ROWS, LEVELS, DENSE = 8192, 256, (4, 16), 0.05
+_LIMIT = (1 << 63) - 1
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def floor_components(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) for each component, as longs; null where the vector or one of its components is null or not finite."""
+    """floor(scale * x) for each component, as longs, the nearest long where it doesn't fit; null where the vector or one of its components is null or not finite."""
     own = F.transform(vector, lambda x: x.cast("double"))
     bad = F.exists(own, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(vector.isNotNull() & ~bad, F.transform(own, lambda x: F.floor(x * scale)))
@@ -45,42 +47,59 @@ class Slot:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.raw = ids[order], vectors[order]
-        self.peak = int(np.abs(self.raw).max(initial=0))
+        self.peak = max(int(self.raw.max(initial=0)), -int(self.raw.min(initial=0)))
         self.exact = self.raw.astype(np.float64)
         self.bounds = [segment_bounds(self.exact, p) for p in LEVELS]
 
-    def scores(self, q: np.ndarray, which: np.ndarray) -> np.ndarray:
-        peak = self.peak * int(np.abs(q).max(initial=0)) * max(1, q.shape[1])
+    def scores(self, q: np.ndarray, which: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        """Integer inner products of q with the candidates `which`, or of q's rows `pairs` with one candidate each; the nearest long where one doesn't fit."""
+        peak = self.peak * max(int(q.max(initial=0)), -int(q.min(initial=0))) * max(1, q.shape[1])
         if peak < 1 << 53:  # sums of such integers are exact in doubles
-            return (q.astype(np.float64) @ self.exact[which].T).astype(np.int64)
-        if peak >= 1 << 63:
-            raise OverflowError("an inner product may not fit 64 bits")
-        return q @ self.raw[which].T
+            q, own = q.astype(np.float64), self.exact[which]
+        elif peak < 1 << 63:
+            own = self.raw[which]
+        else:
+            q, own = q.astype(object), self.raw[which].astype(object)
+        out = q @ own.T if pairs is None else (q[pairs] * own).sum(1)
+        return np.clip(out, -_LIMIT - 1, _LIMIT).astype(np.int64) if out.dtype == object else out.astype(np.int64)
 
     def top(self, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """query, candidate and score of the k best for each query within this slot."""
-        every = np.arange(len(self.ids))
-        own = np.searchsorted(self.ids, qids), np.searchsorted(self.ids, qids, side="right")
-        if len(every) > 4 * k:
+        n = len(self.ids)
+        wanted = np.ones((len(q), n), bool)
+        if n > 4 * k:
             wide = q.astype(np.float64)
             coarse = segment_bounds(wide, LEVELS[0]) @ self.bounds[0].T
-            first = np.unique(np.argpartition(coarse, -2 * k, axis=1)[:, -2 * k :])
-            known = self.scores(q, first).astype(np.float64)
-            known[self.ids[first][None, :] == qids[:, None]] = -np.inf
-            least = np.partition(known, -k, axis=1)[:, -k][:, None] if len(first) >= k else np.full((len(q), 1), -np.inf)
+            first = np.argpartition(coarse, -2 * k, axis=1)[:, -2 * k :]
+            known = self.scores(q, first.ravel(), np.repeat(np.arange(len(q)), 2 * k)).reshape(first.shape).astype(np.float64)
+            known[self.ids[first] == qids[:, None]] = -np.inf
+            least = np.partition(known, -k, axis=1)[:, -k][:, None]
             slack = 1e-9 * (1 + np.abs(coarse).max(initial=0))
-            every = np.flatnonzero((coarse >= least - slack).any(0))
-            fine = segment_bounds(wide, LEVELS[1]) @ self.bounds[1][every].T
-            every = every[(fine >= least - slack).any(0)]
-        s = self.scores(q, every)
+            wanted = coarse >= least - slack
+            if wanted.mean() < 0.5:
+                rows, columns = np.nonzero(wanted)
+                a, b = segment_bounds(wide, LEVELS[1]), self.bounds[1]
+                for at in range(0, len(rows), 1 << 15):
+                    i, j = rows[at : at + (1 << 15)], columns[at : at + (1 << 15)]
+                    wanted[i, j] = np.einsum("ij,ij->i", a[i], b[j]) >= least[i, 0] - slack
+            else:
+                wanted &= segment_bounds(wide, LEVELS[1]) @ self.bounds[1].T >= least - slack
+        wanted &= self.ids[None, :] != qids[:, None]
+        if wanted.mean() < DENSE:
+            rows, columns = np.nonzero(wanted)
+            s = np.concatenate([self.scores(q, columns[at : at + (1 << 15)], rows[at : at + (1 << 15)]) for at in range(0, len(rows), 1 << 15)] or [np.empty(0, np.int64)])
+            ends = np.searchsorted(rows, np.arange(len(q) + 1))
+            parts = [(s[a:b], columns[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        else:
+            every = np.flatnonzero(wanted.any(0))
+            s = self.scores(q, every)
+            parts = [(s[i][own], every[own]) for i, own in enumerate(wanted[:, every])]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in range(len(q)):
-            lo, hi = np.searchsorted(every, own[0][i]), np.searchsorted(every, own[1][i])
-            row, ids = np.delete(s[i], slice(lo, hi)), np.delete(every, slice(lo, hi))
+        for i, (row, ids) in enumerate(parts):
             if len(row) > k:
                 keep = np.flatnonzero(row >= np.partition(row, -k)[-k])
                 row, ids = row[keep], ids[keep]
-            best = np.lexsort((ids, -row))[:k]
+            best = np.lexsort((ids, -row.astype(object) if len(row) and row.min() == -_LIMIT - 1 else -row))[:k]
             out.append((np.full(len(best), qids[i]), self.ids[ids[best]], row[best]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -121,7 +140,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec
     """(query_id, rank, vec_id, score): for each row where is_query holds its k highest integer inner products with rows of other keys; ties go to smaller keys.
 
     `vector` is array<long>; rows where it or the key is null take no part. Only vectors of a query's own length are
-    compared with it. A repeated candidate row counts as often as it stands there, a repeated query row once.
+    compared with it. A repeated candidate row counts as often as it stands there, a repeated query row once. A score that
+    doesn't fit a long is the nearest one, and ties as such. Other columns don't matter; an empty table gives an empty result.
     Candidates are dealt into slots of about slot_rows; each query visits each slot, and a slot passes on its k best."""
     own = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), is_query.alias("q")).filter("vec_id is not null and v is not null")
     own = materialize(own.withColumn("dim", F.size("v")), "topk-vectors")
