@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import materialize, small_batches
+from tidegrid.llm.common import hot_join, materialize, small_batches
 from tidegrid.llm.components import connected_components, forest
 
 SEED = 42
@@ -43,24 +43,37 @@ def shingle_bounds(buf: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (starts[: 1 - n or None], ends[n - 1 :]) if len(starts) >= n else (starts[:1], ends[-1:])
 
 
-def fingerprint(text: str | None, n: int = 4) -> int:
-    """The 64-bit fingerprint as an unsigned integer; zero without any word."""
-    buf = normal_bytes(text or "")
+def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+    """Hashes of a text's n-word shingles, in order."""
+    buf, digest = normal_bytes(text or ""), xxhash.xxh64_intdigest
     starts, ends = shingle_bounds(buf, n)
-    if not len(starts):
-        return 0
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    parts = []
     for at in range(0, len(starts), _CHUNK):
         part = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)
-        h = np.array([digest(buf[s:e], SEED) for s, e in part], np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        parts.append(np.array([digest(buf[s:e], SEED) for s, e in part], np.uint64))
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes; zero of none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        bits = np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):  # sums of at most 255 bits fit a byte, and bytes add up fastest
             counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, n: int = 4) -> int:
+    """The 64-bit fingerprint as an unsigned integer; zero without any word."""
+    return majority(shingle_hashes(text, n))
 
 
 def with_fingerprint(docs: DataFrame, n: int = 4, text: str = "text", into: str = "fingerprint") -> DataFrame:
-    """docs with the fingerprint of `text` as a signed long; equal texts get equal ones."""
+    """docs with the fingerprint of `text` as a signed long in the column `into`, which replaces one of that name; other columns pass through.
+
+    Null, empty and wordless texts have fingerprint 0. Equal texts get equal ones; an empty table stays empty. A text is
+    read whole, however long it is; its hashes, 8 bytes a word, are held by a task."""
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
@@ -77,6 +90,11 @@ def block_masks(distance: int, extra: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, extra)]
 
 
+def blocks_for(rows: int, distance: int, most: int = 4) -> int:
+    """Blocks that a table's key should join so that buckets stay small: with `extra` of distance + extra blocks a key has 64 * extra / (distance + extra) bits."""
+    return next((e for e in range(2, most) if rows >> 64 * e // (distance + e) <= 16), most)
+
+
 def _pairs(a: np.ndarray, b: np.ndarray | None, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Close pairs within a, or between a and b, compared a slice of rows at a time."""
     other = a if b is None else b
@@ -133,16 +151,18 @@ def _tail(key: np.ndarray, sub: np.ndarray) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def close_links(prints: DataFrame, distance: int = 4, extra: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def close_links(prints: DataFrame, distance: int = 4, extra: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` that connect all pairs within `distance` bits: of each bucket a spanning forest, not all pairs.
 
-    Buckets above bucket_rows are dealt out: their fingerprints fall into parts by a hash, and each pair of parts is a bucket of its own."""
-    spark, masks = prints.sparkSession, block_masks(distance, extra)
+    Of how many blocks a key consists follows from the number of fingerprints, so that the pairs that meet grow with it and not
+    with its square: random ones meet in buckets of 16 at most up to 2 ** 25 of them by two blocks, 2 ** 31 by three, 2 ** 36 by
+    four. Buckets above bucket_rows are dealt out: their fingerprints fall into parts by a hash, and each pair of parts is a bucket of its own."""
+    spark, masks = prints.sparkSession, block_masks(distance, extra or blocks_for(prints.count(), distance))
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for i, m in enumerate(masks)])
     rows = materialize(prints.select("fp", F.explode(keys).alias("key")), "simhash-blocks")
     sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "simhash-sizes")
     hot = sizes.filter(F.col("m") > bucket_rows)
-    rows = rows.join(sizes, "key")
+    rows = hot_join(rows, sizes, ["key"], "m")
     plain = rows.filter(F.col("m") <= bucket_rows).select("key", F.lit(0).alias("sub"), F.lit(0).alias("side"), "fp")
     if hot.limit(1).count():
         parts = F.ceil(2 * F.col("m") / bucket_rows).cast("int")
@@ -156,15 +176,15 @@ def close_links(prints: DataFrame, distance: int = 4, extra: int = 2, bucket_row
     return dealt.mapInArrow(lambda it: _links(it, distance), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, n: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text", extra: int = 2) -> DataFrame:
+def simhash_groups(docs: DataFrame, n: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text", extra: int | None = None) -> DataFrame:
     """One row for each row of docs: key, fingerprint (long) and component_id, the smallest key that chains of links reach.
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows get equal rows; extra
     columns are ignored. An empty table gives an empty result."""
     prints = materialize(with_fingerprint(docs.select(key, text), n, text).select(key, F.col("fingerprint").alias("fp")), "simhash-prints")
-    heads = materialize(prints.groupBy("fp").agg(F.min(key).alias("head")), "simhash-heads")
+    heads = materialize(prints.groupBy("fp").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("m")), "simhash-heads")
     parts = connected_components(close_links(heads.select("fp"), distance, extra))
     linked = heads.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = linked.groupBy("root").agg(F.min("head").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(key, F.col("fp").alias("fingerprint"), "component_id")
+    named = materialize(linked.join(least, "root").select("fp", "component_id", "m"), "simhash-named")
+    return hot_join(prints, named, ["fp"], "m").select(key, F.col("fp").alias("fingerprint"), "component_id")
