@@ -111,6 +111,31 @@ def test_near_dedup(documents):
     assert near_dedup.near_dedup(documents([])).count() == 0
 
 
+def test_near_dedup_of_chains(documents):
+    """Where each text is like the next one only, a chain is one group."""
+    r, texts = random.Random(22), []
+    for c in range(20):
+        words = [f"w{c}x{i}" for i in range(200)]
+        for k in range(40):
+            for i in range(3):
+                words[(9 * k + 66 * i) % 200] = f"new{c}y{k}z{i}"
+            texts.append(" ".join(words))
+    r.shuffle(texts)
+    sets = [set(near_dedup.shingle_set(t, 5).tolist()) for t in texts]
+    want = components(range(len(texts)), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert len(set(want.values())) == 20
+    got = near_dedup.near_groups(documents(texts))
+    assert {x["key"]: x["leader"] for x in got.collect()} == want
+
+
+def test_near_dedup_of_awkward_rows(documents):
+    """Keys with several texts, repeated rows, null keys, very long texts."""
+    a, b, long = prose(random.Random(23), 40), prose(random.Random(24), 40), prose(random.Random(25), 60_000)
+    rows = [(1, a), (1, a), (2, b), (1, b), (None, a), (5, long), (6, long + " end"), (7, None), (8, " "), (9, "one"), (4, "two")]
+    got = sorted((x["doc_id"] or 0, x["text"] or "") for x in near_dedup.near_dedup(documents(rows).withColumn("words", F.lit(0))).collect())
+    assert got == sorted([(1, a), (1, a), (1, b), (0, a), (5, long), (7, ""), (9, "one"), (4, "two")])
+
+
 @pytest.mark.parametrize("set_rows", [1024, 64])
 def test_near_dedup_of_a_star(documents, set_rows):
     """Copies that are like their original but not like each other all meet it, however large their buckets."""

@@ -2,23 +2,24 @@
 
 Links come from SimHash fingerprints within `distance` bits, and from bands of min-hashes, since fingerprints of texts
 that share only four fifths of their shingles often differ in ten bits or more, which blocks of 64 bits can't find.
-Every link is verified on the texts: the Jaccard similarity of their sets of word shingles. All pairs that meet in a
-bucket are compared, but for those that verified links connect already.
+Every link is verified: the Jaccard similarity of the texts' sets of word shingles. Sets are hashed once, and only those that
+share a bucket are kept and shuffled. All pairs that meet in a bucket are compared, but for those that verified links
+connect already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import checked_broadcast, materialize, small_batches
+from tidegrid.llm.common import checked_broadcast, discard, hot_join, materialize, small_batches
 from tidegrid.llm.components import connected_components
-from tidegrid.llm.simhash import BUCKET_ROWS, SEED, block_masks, fingerprint, normal_bytes, shingle_bounds
+from tidegrid.llm.simhash import BUCKET_ROWS, block_masks, blocks_for, majority, shingle_hashes
 
 #: Bands of a signature and min-hashes in each: a pair at similarity 0.8 misses all 16 bands of 5 once in 500.
 BANDS, ROWS = 16, 5
@@ -32,10 +33,7 @@ _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of a text's n-word shingles."""
-    buf = normal_bytes(text or "")
-    starts, ends = shingle_bounds(buf, n)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(buf[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64))
+    return np.unique(shingle_hashes(text, n))
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
@@ -58,54 +56,59 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-_SIGNED = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sid, fp, size, keys = [], [], [], []
+        sets, fp, size, keys = [], [], [], []
         for text in batch.column("text"):
-            t = text.as_py()
-            s = shingle_set(t, n)
-            sid.append(xxhash.xxh64_intdigest(s.tobytes(), 1))
-            fp.append(fingerprint(t, n))
+            h = shingle_hashes(text.as_py(), n)
+            s = np.unique(h)
+            sets.append(blake2b(s.tobytes(), digest_size=16).digest())
+            fp.append(majority(h))
             size.append(len(s))
             keys.append(bands(s).view(np.int64))
-        as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), as_long(sid), as_long(fp), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=_SIGNED)
+        digest = np.frombuffer(b"".join(sets), np.int64).reshape(-1, 2)
+        columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], schema=_SIGNED)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], n: int, least: float) -> Iterator[pa.RecordBatch]:
-    """The pairs whose texts are similar; rows come by their first text, whose shingles are computed once."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    last, left = None, None
+def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets are similar."""
     for batch in batches:
         out = []
-        for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y")), strict=True):
-            a, b = a.as_py(), b.as_py()
-            if a != last:
-                last, left = a, shingle_set(x.as_py(), n)
-            if similarity(left, shingle_set(y.as_py(), n)) >= least:
+        for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+            if similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= least:
                 out.append((a, b))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+            yield _pair_batch(out)
 
 
-def similar_links(docs: DataFrame, sets: DataFrame, candidates: DataFrame, n: int, least: float, key: str, text: str) -> DataFrame:
-    """Those of the candidate pairs (a, b) of shingle sets that are similar on their texts."""
-    asked = candidates.select(F.col("a").alias("sid")).unionByName(candidates.select(F.col("b").alias("sid"))).distinct()
-    heads = materialize(sets.select("sid", "head").join(asked, "sid", "left_semi"), "near-heads")
-    texts = docs.select(F.col(key).alias("head"), F.col(text).alias("text")).join(checked_broadcast(heads, 32), "head").select("sid", "text").dropDuplicates(["sid"])
-    texts = materialize(texts, "near-texts")
-    pairs = candidates.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("sid").alias("a"), F.col("text").alias("x")), "a")
-    return pairs.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, n, least), "a long, b long")
+def similar_links(candidates: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Those of the candidate pairs (a, b) of nodes that are similar; words: (sid, words) of each of them."""
+    pairs = candidates.join(words.select(F.col("sid").alias("b"), F.col("words").alias("y")), "b").join(words.select(F.col("sid").alias("a"), F.col("words").alias("x")), "a")
+    return pairs.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, least), "a long, b long")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("sid", pa.int64()), ("words", pa.binary())])
+    schema = pa.schema([("sid", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("words", pa.binary())])
     for batch in batches:
-        words = [shingle_set(t.as_py(), n).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(words, pa.binary())], schema=schema)
+        sets = [shingle_set(t.as_py(), n).tobytes() for t in batch.column("text")]
+        digest = np.frombuffer(b"".join(blake2b(s, digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(sets, pa.binary())], schema=schema)
+
+
+def word_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(sid, words): the shingle sets of nodes (sid, s1, s2), read from the documents (key, text) that they are named by."""
+    asked = materialize(nodes.select("sid", "s1", "s2").distinct(), "near-asked")
+    texts = docs.join(checked_broadcast(asked.select(F.col("sid").alias("key")).distinct(), 16), "key", "left_semi")
+    sets = texts.mapInArrow(lambda it: _shingles(it, n), "sid long, s1 long, s2 long, words binary")
+    # a key's rows may have other texts too, and equal ones
+    sets = sets.join(checked_broadcast(asked, 32), ["sid", "s1", "s2"], "left_semi").groupBy("sid", "s1", "s2").agg(F.first("words").alias("words"))
+    out = materialize(sets.select("sid", "words"), "near-words")
+    discard(asked)
+    return out
 
 
 def _dealt(rows: DataFrame, bucket_rows: int) -> DataFrame:
@@ -113,8 +116,8 @@ def _dealt(rows: DataFrame, bucket_rows: int) -> DataFrame:
 
     All pairs within a bucket of side 0 are to be compared, and those of sides 1 and 2."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    sizes = materialize(sizes.select("key", F.when(F.col("m") > bucket_rows, F.ceil(2 * F.col("m") / bucket_rows)).otherwise(1).cast("int").alias("p")), "near-sizes")
-    dealt = rows.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("p")).cast("int"))
+    sizes = materialize(sizes.select("key", "m", F.when(F.col("m") > bucket_rows, F.ceil(2 * F.col("m") / bucket_rows)).otherwise(1).cast("int").alias("p")), "near-sizes")
+    dealt = hot_join(rows, sizes, ["key"], "m").withColumn("i", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("p")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     sub = F.least("i", "j").cast("long") * F.col("p") + F.greatest("i", "j")
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
@@ -216,53 +219,66 @@ def _close_pairs(batches: Iterator[pa.RecordBatch], distance: int, least: float)
 def near_groups(docs: DataFrame, n: int = 5, least: float = 0.8, distance: int = 4, key: str = "doc_id", text: str = "text", set_rows: int = SET_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(key, leader) for each row with a key: the smallest key of its group of near copies.
 
-    Texts with one set of shingles are one node; null and empty texts are one too. Nodes are linked if their
-    fingerprints are within `distance` bits or a band of their min-hashes is equal, and their Jaccard similarity is
-    `least` or more. In a bucket of equal bands all are first compared with two of its members, which connects most
-    copies. Then every pair in a bucket that isn't connected yet is compared."""
+    Texts with one set of shingles are one node, named by their smallest key; null and empty texts are one too. Nodes are
+    linked if their fingerprints are within `distance` bits or a band of their min-hashes is equal, and their Jaccard
+    similarity is `least` or more. In a bucket of equal bands all are first compared with two of its members, which
+    connects most copies. Then every pair in a bucket that isn't connected yet is compared. A key whose rows have several
+    texts is one document that is like whatever one of them is like."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("key is not null")
-    docs = own.withColumnRenamed("key", key)
-    signed = materialize(own.mapInArrow(lambda it: _sign(it, n), "key long, sid long, fp long, size long, bands array<long>"), "near-signed")
-    sets = signed.groupBy("sid").agg(F.min("key").alias("head"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
+    signed = materialize(own.mapInArrow(lambda it: _sign(it, n), "key long, s1 long, s2 long, fp long, size long, bands array<long>"), "near-signed")
+    sets = signed.groupBy("s1", "s2").agg(F.min("key").alias("sid"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
     sets = materialize(sets.withColumn("keys", F.array_append("bands", F.xxhash64("fp", F.lit(16)))).drop("bands"), "near-sets")
-    rows = sets.select("sid", F.posexplode("keys").alias("at", "band"))
-    rows = materialize(rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("band"), "band"), "near-bands")
+    rows = sets.select("sid", "s1", "s2", F.posexplode("keys").alias("at", "band"))
+    shared = materialize(rows.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "near-shared")
+    rows = materialize(hot_join(rows, shared, ["band"], "m").drop("m"), "near-bands")
+    words = word_sets(own, rows, n)
     drawn = F.struct(F.xxhash64("sid", F.lit(0)).alias("h"), "sid")
-    ends = rows.groupBy("band").agg(F.min(drawn).alias("lo"), F.max(drawn).alias("hi")).filter("lo.sid <> hi.sid")
-    met = rows.join(ends, "band").select("sid", F.explode(F.array("lo.sid", "hi.sid")).alias("other")).filter("sid <> other")
+    ends = rows.groupBy("band").agg(F.min(drawn).alias("lo"), F.max(drawn).alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo.sid <> hi.sid")
+    ends = materialize(ends, "near-ends")
+    met = hot_join(rows, ends, ["band"], "m").select("sid", F.explode(F.array("lo.sid", "hi.sid")).alias("other")).filter("sid <> other")
     met = materialize(met.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct(), "near-candidates")
-    links = materialize(similar_links(docs, sets, met, n, least, key, "text"), "near-links")
+    found = [materialize(similar_links(met, words, least), "near-links")]
+    discard(shared, ends, met)
 
     def rooted() -> DataFrame:
+        links = found[0]
+        for more in found[1:]:
+            links = links.unionByName(more)
+        # a key with several texts is several sets of one name
         groups = materialize(connected_components(links), "near-components")
         return sets.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
-    named = materialize(rooted().select("sid", "root"), "near-roots")
+    named = materialize(rooted().select("sid", "root").distinct(), "near-roots")
     dealt = materialize(_dealt(rows.join(named, "sid").select(F.col("band").alias("key"), "sid", "root", "at"), set_rows), "near-dealt")
-    asked = materialize(sets.join(dealt.select("sid").distinct(), "sid", "left_semi").select("sid", "head", "keys"), "near-asked")
-    texts = docs.select(F.col(key).alias("head"), "text").join(checked_broadcast(asked.select("sid", "head"), 32), "head").select("sid", "text").dropDuplicates(["sid"])
-    words = materialize(texts.mapInArrow(lambda it: _shingles(it, n), "sid long, words binary"), "near-words")
-    held = dealt.join(words, "sid").join(asked.select("sid", "keys"), "sid")
-    more = _by_bucket(held).mapInArrow(lambda it: _set_links(it, least), "a long, b long")
-    links = links.unionByName(materialize(more, "near-links"))
-
-    named = materialize(rooted().select("sid", "fp", "size", "root"), "near-roots")
-    masks = block_masks(distance, 2)
+    held = dealt.join(words, "sid").join(sets.select("sid", "keys"), "sid")
+    found.append(materialize(_by_bucket(held).mapInArrow(lambda it: _set_links(it, least), "a long, b long"), "near-links"))
+    discard(rows, named, dealt)
+
+    named = materialize(rooted().select("sid", "s1", "s2", "fp", "size", "root"), "near-roots")
+    masks = block_masks(distance, blocks_for(named.count(), distance))
     blocks = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for i, m in enumerate(masks)])
     rows = materialize(named.select("sid", "root", "fp", "size", F.explode(blocks).alias("key")), "near-blocks")
     close = _by_bucket(_dealt(rows, bucket_rows)).mapInArrow(lambda it: _close_pairs(it, distance, least), "a long, b long")
     close = materialize(close.distinct(), "near-candidates")
-    links = links.unionByName(materialize(similar_links(docs, sets, close, n, least, key, "text"), "near-links"))
+    asked = close.select(F.col("a").alias("sid")).unionByName(close.select(F.col("b").alias("sid"))).distinct()
+    new = word_sets(own, named.join(asked, "sid", "left_semi").join(words.select("sid").distinct(), "sid", "left_anti"), n)
+    found.append(materialize(similar_links(close, words.unionByName(new), least), "near-links"))
+    discard(rows, named, close)
 
     named = rooted()
-    least_key = named.groupBy("root").agg(F.min("head").alias("leader"))
-    named = named.join(least_key, "root").select("sid", "leader")
-    return signed.select("key", "sid").join(named, "sid").select("key", "leader")
+    least_key = named.groupBy("root").agg(F.min("sid").alias("leader"))
+    named = materialize(named.join(least_key, "root").select("s1", "s2", "copies", "leader"), "near-named")
+    out = hot_join(signed.select("key", "s1", "s2"), named, ["s1", "s2"], "copies").select("key", "leader")
+    discard(words, new, sets, *found)
+    return out
 
 
 def near_dedup(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without the near copies: of each group the row with the smallest key stays. Rows without a key stay; rows that repeat a key are kept or dropped alike."""
+    """docs without the near copies: of each group the row with the smallest key stays. Rows without a key stay; rows that repeat a key are kept or dropped alike.
+
+    Null, empty and wordless texts are copies of one another; texts of fewer than n words are compared as a whole. Other columns
+    pass through, whatever their names; an empty table stays empty. A text is read whole, however long it is."""
     groups = near_groups(docs, n, similarity, key=key, text=text, **how)
     dropped = materialize(groups.filter("key <> leader").select(F.col("key").alias("__key")).distinct(), "near-dropped")
     return docs.join(checked_broadcast(dropped, 16), docs[key].cast("long") == F.col("__key"), "left_anti")
