@@ -47,7 +47,7 @@ class Forms(dict):
         get = self.vocabulary.get
         found = next((i for k in STEMS if k < len(word) and (i := get(word[:k] + "*"))), None) if self.stems else None
         found = found or get(word, 0)
-        if len(self) >= 200_000:
+        if len(self) >= 60_000:
             self.clear()
         self[word] = found
         return found
