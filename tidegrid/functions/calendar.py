@@ -16,15 +16,15 @@ PARTS: dict[str, Callable[[Column], Column]] = {
     "microsecond": lambda c: F.date_format(c, "SSSSSS").cast("int"),
 }
 _BY_UNIT = {
-    "seconds": ["year", "month", "day", "weekday", "hour", "minute", "second"], "minutes": ["year", "month", "day", "weekday", "hour", "minute"],
-    "hours": ["year", "month", "day", "weekday", "hour"], "days": ["year", "month", "day", "weekday"], "months": ["year", "month"],
+    "months": ["year", "month"], "days": ["year", "month", "day", "weekday"], "hours": ["year", "month", "day", "hour"],
+    "minutes": ["year", "month", "day", "hour", "minute"], "seconds": ["year", "month", "day", "hour", "minute", "second"],
 }
 
 
 def default_parts(unit: str, step: int = 1) -> list[str]:
-    """The parts that vary at a frequency; weekly steps have the week, quarters the quarter, years the year alone."""
+    """The parts that a frequency gets unless others are named; weekly steps have week and weekday, quarters the quarter, years the year alone."""
     if unit == "days" and step % 7 == 0:
-        return ["year", "week"]
+        return ["year", "week", "weekday"]
     if unit == "months" and step % 12 == 0:
         return ["year"]
     if unit == "months" and step % 3 == 0:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,15 @@ from tidegrid.operators.panel import ROLES, Roles
 from tidegrid.operators.validation import seasonal_cv
 
 
-def historical(df: DataFrame, season: int, level: float = 99, roles: Roles = ROLES, name: str = "seasonal_naive") -> DataFrame:
-    """(id, time, y, name, anomaly, lo, hi) for rows with a fitted value: outside z deviations of the series' residuals. A null y is no anomaly."""
-    fit = fitted_seasonal(df, season, roles, name).filter(F.col(name).isNotNull())
+#: Forecasts of rolling windows: from their number and the rows between them, rows with cutoff, target and the forecast.
+Windows = Callable[[int, int], DataFrame]
+
+
+def historical(df: DataFrame, season: int, level: float = 99, roles: Roles = ROLES, name: str = "seasonal_naive", fitted: DataFrame | None = None) -> DataFrame:
+    """(id, time, y, name, anomaly, lo, hi) for rows with a fitted value: outside z deviations of the series' residuals. A null y is no anomaly.
+
+    `fitted` is df with the values of a model; without it they are those of one season before."""
+    fit = (fitted_seasonal(df, season, roles, name) if fitted is None else fitted).filter(F.col(name).isNotNull())
     sigma = F.stddev_samp(F.col(roles.target) - F.col(name)).over(roles.whole)
     rows = fit.withColumn("__w", z_of(level) * sigma)
     lo, hi = F.col(name) - F.col("__w"), F.col(name) + F.col("__w")
@@ -22,19 +30,19 @@ def historical(df: DataFrame, season: int, level: float = 99, roles: Roles = ROL
     return rows.select(roles.id, roles.time, roles.target, name, flag.alias("anomaly"), lo.alias(bound(name, "lo", level)), hi.alias(bound(name, "hi", level)))
 
 
-def rolling_residuals(df: DataFrame, h: int, detection_size: int, season: int, calibration: int, step: int | None = None, roles: Roles = ROLES, name: str = "seasonal_naive") -> DataFrame:
+def rolling_residuals(df: DataFrame, h: int, detection_size: int, season: int, calibration: int, step: int | None = None, roles: Roles = ROLES, name: str = "seasonal_naive", windows: Windows | None = None) -> DataFrame:
     """(id, time, y, name, r, live): one row for each stamp that rolling windows test, over calibration + detection_size rows; where windows overlap, their forecasts' mean. live marks the last detection_size rows."""
     p = step or h
     n_windows = max(1, -(-(calibration + detection_size - h) // p) + 1)
-    cv = seasonal_cv(df, h, season, n_windows, p, roles, name)
+    cv = windows(n_windows, p) if windows else seasonal_cv(df, h, season, n_windows, p, roles, name)
     rows = cv.groupBy(roles.id, roles.time).agg(F.first(roles.target).alias(roles.target), F.avg(name).alias(name))
     rows = rows.withColumn("r", F.col(roles.target) - F.col(name))
     return rows.withColumn("live", F.row_number().over(roles.falling) <= detection_size)
 
 
-def online(df: DataFrame, h: int, detection_size: int, season: int, level: float = 99, calibration: int | None = None, step: int | None = None, roles: Roles = ROLES, name: str = "seasonal_naive") -> DataFrame:
+def online(df: DataFrame, h: int, detection_size: int, season: int, level: float = 99, calibration: int | None = None, step: int | None = None, roles: Roles = ROLES, name: str = "seasonal_naive", windows: Windows | None = None) -> DataFrame:
     """The last detection_size rows of each series with anomaly_score, in deviations of the residuals before them, and anomaly, lo and hi."""
-    rows = rolling_residuals(df, h, detection_size, season, calibration or 6 * detection_size, step, roles, name)
+    rows = rolling_residuals(df, h, detection_size, season, calibration or 6 * detection_size, step, roles, name, windows)
     past = F.when(~F.col("live"), F.col("r"))
     rows = rows.withColumns({"mu": F.avg(past).over(roles.whole), "sd": F.stddev_samp(past).over(roles.whole)}).filter("live")
     z = z_of(level)
@@ -44,9 +52,9 @@ def online(df: DataFrame, h: int, detection_size: int, season: int, level: float
     return rows.select(roles.id, roles.time, roles.target, name, F.coalesce((y < lo) | (y > hi), F.lit(False)).alias("anomaly"), score.alias("anomaly_score"), lo.alias(bound(name, "lo", level)), hi.alias(bound(name, "hi", level)))
 
 
-def online_multivariate(df: DataFrame, h: int, detection_size: int, season: int, level: float = 99, calibration: int | None = None, step: int | None = None, roles: Roles = ROLES, name: str = "seasonal_naive") -> DataFrame:
-    """Scores squared and summed over series at each stamp, against the level's percentile of the stamps before; all series share a stamp's flag, but for null targets."""
-    rows = rolling_residuals(df, h, detection_size, season, calibration or 6 * detection_size, step, roles, name)
+def online_multivariate(df: DataFrame, h: int, detection_size: int, season: int, level: float = 99, calibration: int | None = None, step: int | None = None, roles: Roles = ROLES, name: str = "seasonal_naive", windows: Windows | None = None) -> DataFrame:
+    """Scores squared and summed over series at each stamp, against the level's percentile of the stamps before; all series share a stamp's flag, but for null targets. The percentile is over a number for each stamp, in one task: a calendar's length."""
+    rows = rolling_residuals(df, h, detection_size, season, calibration or 6 * detection_size, step, roles, name, windows)
     past = F.when(~F.col("live"), F.col("r"))
     rows = rows.withColumns({"mu": F.avg(past).over(roles.whole), "sd": F.stddev_samp(past).over(roles.whole)})
     rows = rows.withColumn("anomaly_score", (F.col("r") - F.col("mu")) / F.nullif("sd", F.lit(0.0)))

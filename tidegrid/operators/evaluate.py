@@ -35,8 +35,16 @@ def scales(train: DataFrame, season: int, roles: Roles = ROLES) -> DataFrame:
 
 
 def mase(df: DataFrame, train: DataFrame, model: str, season: int, roles: Roles = ROLES) -> DataFrame:
-    errors = df.groupBy(roles.id).agg(M.mae(F.col(roles.target), F.col(model)).alias("mae"))
-    return errors.join(scales(train, season, roles), roles.id).select(roles.id, M.mase(F.col("mae"), F.col("scale")).alias("mase"))
+    """(id, mase); (id, cutoff, mase) where df has cutoffs: each window's error over the scale of the rows up to its cutoff."""
+    y = F.col(roles.target)
+    if "cutoff" not in df.columns:
+        errors = df.groupBy(roles.id).agg(M.mae(y, F.col(model)).alias("mae"))
+        return errors.join(scales(train, season, roles), roles.id).select(roles.id, M.mase(F.col("mae"), F.col("scale")).alias("mase"))
+    d = F.abs(y - F.lag(y, season).over(roles.rising))
+    upto = roles.rising.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = train.withColumn("__d", d).select(roles.id, F.col(roles.time).alias("cutoff"), F.avg("__d").over(upto).alias("scale"))
+    errors = df.groupBy(roles.id, "cutoff").agg(M.mae(y, F.col(model)).alias("mae"))
+    return errors.join(at, [roles.id, "cutoff"]).select(roles.id, "cutoff", M.mase(F.col("mae"), F.col("scale")).alias("mase"))
 
 
 def scaled_crps(df: DataFrame, quantiles: dict[float, str], roles: Roles = ROLES) -> DataFrame:

@@ -51,8 +51,7 @@ def contiguity(df: DataFrame, step: str | int | Freq, roles: Roles = ROLES) -> D
     """For each series n, n_distinct, n_expected and ok: no stamp is missing, repeated or off the grid from its first one."""
     step = step if isinstance(step, Freq) else freq(step)
     t = F.col(roles.time)
-    first = df.groupBy(roles.id).agg(F.min(t).alias("first"))
-    on = df.join(first, roles.id).withColumn("on", step.add(F.col("first"), step.steps(F.col("first"), t)) == t)
+    on = df.withColumn("first", F.min(t).over(roles.whole)).withColumn("on", step.add(F.col("first"), step.steps(F.col("first"), t)) == t)
     by = on.groupBy(roles.id).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(t).alias("n_distinct"), (step.steps(F.min(t), F.max(t)) + 1).alias("n_expected"), F.bool_and("on").alias("on"))
     return by.withColumn("ok", (F.col("n") == F.col("n_distinct")) & (F.col("n") == F.col("n_expected")) & F.col("on")).drop("on")
 

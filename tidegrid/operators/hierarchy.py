@@ -38,25 +38,57 @@ def bottom_up(forecast: DataFrame, edges: DataFrame, name: str, roles: Roles = R
     return own.groupBy(F.col("agg_id").alias(roles.id), roles.time).agg(F.sum(name).alias(name))
 
 
-def top_down(history: DataFrame, total: DataFrame, name: str, roles: Roles = ROLES) -> DataFrame:
-    """Bottom forecasts from one total by each series' share of the history's sum."""
-    whole = F.broadcast(history.agg(F.sum(roles.target).alias("__all")))  # one row
-    shares = history.groupBy(roles.id).agg(F.sum(roles.target).alias("__own")).crossJoin(whole)
-    shares = shares.select(roles.id, (F.col("__own") / F.nullif("__all", F.lit(0.0))).alias("__share"), F.lit(0).alias("__one"))
-    rows = total.select(F.col(roles.time), F.col(name).alias("__total"), F.lit(0).alias("__one"))
-    return shares.join(rows, "__one").select(roles.id, roles.time, (F.col("__share") * F.col("__total")).alias(name))
-
-
-def min_trace(forecast: DataFrame, edges: pd.DataFrame, name: str, roles: Roles = ROLES, weights: str = "ols") -> DataFrame:
-    """Coherent forecasts by linear projection, one stamp at a time; weights: ols, or wls_struct by the bottom series below each.
-
-    The hierarchy's matrix is held by every task, so this is for hierarchies of thousands of series, not of millions."""
-    bottom = sorted(edges["bottom_id"].unique())
+def top_down(history: DataFrame, total: DataFrame, name: str, roles: Roles = ROLES, most: int = 10_000) -> DataFrame:
+    """Bottom forecasts from one total by each series' share of the history's sum. The total's horizon, of `most` stamps at most, goes to every series as one array."""
+    ahead = F.array_sort(F.collect_list(F.struct(F.col(roles.time).alias("t"), F.col(name).alias("v"))))
+    whole = history.agg(F.sum(roles.target).alias("__all"))
+    one = F.broadcast(total.limit(most + 1).agg(ahead.alias("__ahead")).crossJoin(F.broadcast(whole)))  # one row of `most` stamps
+    rows = history.groupBy(roles.id).agg(F.sum(roles.target).alias("__own")).crossJoin(one)
+    rows = rows.withColumn("__ahead", F.when(F.size("__ahead") <= most, F.col("__ahead")).otherwise(F.raise_error(F.lit(f"a total of more than {most} stamps"))))
+    rows = rows.select(roles.id, (F.col("__own") / F.nullif("__all", F.lit(0.0))).alias("__share"), F.explode("__ahead").alias("__a"))
+    return rows.select(roles.id, F.col("__a.t").alias(roles.time), (F.col("__share") * F.col("__a.v")).alias(name))
+
+
+def shrunk_covariance(residuals: np.ndarray) -> np.ndarray:
+    """Covariance of residuals (rows, series), its correlations drawn to zero as far as their own variance says (Schaefer and Strimmer, 2005)."""
+    n = len(residuals)
+    x = residuals - residuals.mean(0)
+    cov = x.T @ x / max(1, n - 1)
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    z = x / scale
+    corr = z.T @ z / max(1, n - 1)
+    spread = ((z**2).T @ (z**2) - (z.T @ z) ** 2 / n) * n / max(1, n - 1) ** 3
+    off = ~np.eye(len(corr), dtype=bool)
+    part = float(np.clip(spread[off].sum() / max((corr[off] ** 2).sum(), 1e-12), 0, 1))
+    return np.where(off, (1 - part) * corr, corr) * np.outer(scale, scale)
+
+
+def min_trace(forecast: DataFrame, edges: pd.DataFrame | DataFrame, name: str, roles: Roles = ROLES, weights: str = "ols", residuals: DataFrame | None = None, most: int = 4_000_000) -> DataFrame:
+    """Coherent forecasts by linear projection, one stamp at a time; weights: ols, wls_struct by the bottom series below each, or mint_shrink from residuals (id, time, r).
+
+    The hierarchy's matrix is held by every task, so this is for hierarchies of thousands of series: more than `most` edges,
+    or residuals, are an error before anything is collected."""
+
+    def small(df: DataFrame) -> pd.DataFrame:
+        rows = df.limit(most + 1).toPandas()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} rows; reconcile parts of the hierarchy")
+        return rows
+
+    edges = small(edges) if isinstance(edges, DataFrame) else edges
+    bottom = {b: i for i, b in enumerate(sorted(edges["bottom_id"].unique()))}
     ids = sorted(edges["agg_id"].unique())
+    places = {a: i for i, a in enumerate(ids)}
     s = np.zeros((len(ids), len(bottom)))
-    s[[ids.index(a) for a in edges["agg_id"]], [bottom.index(b) for b in edges["bottom_id"]]] = 1
-    w = np.ones(len(ids)) if weights == "ols" else 1 / s.sum(1)
-    project = s @ np.linalg.pinv(s.T @ (w[:, None] * s)) @ (s.T * w)
+    s[[places[a] for a in edges["agg_id"]], [bottom[b] for b in edges["bottom_id"]]] = 1
+    if weights == "mint_shrink":
+        if residuals is None:
+            raise ValueError("mint_shrink needs residuals")
+        wide = small(residuals.select(roles.id, roles.time, "r").filter("r is not null")).pivot(index=roles.time, columns=roles.id, values="r").reindex(columns=ids).dropna()
+        inverse = np.linalg.pinv(shrunk_covariance(wide.to_numpy(float)), hermitian=True)
+    else:
+        inverse = np.diag(np.ones(len(ids)) if weights == "ols" else 1 / s.sum(1))
+    project = s @ np.linalg.pinv(s.T @ inverse @ s) @ s.T @ inverse
     kinds = dict(forecast.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

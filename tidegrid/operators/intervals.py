@@ -25,6 +25,22 @@ def with_conformal(forecast: DataFrame, widths: DataFrame, levels: Sequence[floa
     return met.select(*forecast.columns, *los, *his)
 
 
+def with_rolling_conformal(cv: DataFrame, levels: Sequence[float], name: str, lag: int, calibration: int, roles: Roles = ROLES) -> DataFrame:
+    """cv, which has cutoff and k, with intervals for each window: percentiles of absolute residuals at the same step of the `calibration` windows that are `lag` windows or more before it.
+
+    With lag = ceil(h / step_size) these windows' rows end at the cutoff or before it, so that nothing is known that wasn't then.
+    Null where there is no such window."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy(roles.id, "k").orderBy("cutoff").rowsBetween(-(lag + calibration - 1), -lag)
+    e = F.abs(F.col(roles.target) - F.col(f"`{name}`"))
+    rows = cv.withColumns({f"__w{i}": F.percentile(e, F.lit(x / 100)).over(before) for i, x in enumerate(sorted(levels))})
+    at = {x: F.col(f"__w{i}") for i, x in enumerate(sorted(levels))}
+    los = [(F.col(f"`{name}`") - at[x]).alias(bound(name, "lo", x)) for x in sorted(levels, reverse=True)]
+    his = [(F.col(f"`{name}`") + at[x]).alias(bound(name, "hi", x)) for x in sorted(levels)]
+    return rows.select(*[F.col(f"`{c}`") for c in cv.columns], *los, *his)
+
+
 def with_normal(forecast: DataFrame, sigma: DataFrame, levels: Sequence[float], name: str, roles: Roles = ROLES) -> DataFrame:
     """The same from one deviation per series (id, sigma)."""
     met = forecast.join(sigma, roles.id, "left")

@@ -90,6 +90,33 @@ def require_length(df: DataFrame, n: int, roles: Roles = ROLES) -> None:
         raise ValueError(f"the shortest series has {least} rows; {n} are needed")
 
 
+#: Rows that a series should have, by the unit of its frequency.
+MIN_HISTORY = {"hours": 1008, "days": 300, "weeks": 64}
+OTHER_HISTORY = 48
+
+
+def short_series(df: DataFrame, unit: str, step: int = 1, need: int | None = None, roles: Roles = ROLES) -> DataFrame:
+    """(id, n, needed, reason) of series with fewer rows than a frequency's minimum, or than `need`."""
+    unit = "weeks" if unit == "days" and step % 7 == 0 else unit
+    least = need if need is not None else MIN_HISTORY.get(unit, OTHER_HISTORY)
+    rows = df.groupBy(roles.id).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < least).withColumn("needed", F.lit(least))
+    return rows.withColumn("reason", F.format_string("%d rows, %d needed", "n", "needed"))
+
+
+def require_complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df, or an error if a left join left one of the columns without a value. One pass."""
+    holes = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in columns]).first().asDict()
+    if holes := {c: n for c, n in holes.items() if n}:
+        raise ValueError(f"rows without a value: {holes}")
+    return df
+
+
+def same_ids(a: DataFrame, b: DataFrame, roles: Roles = ROLES) -> bool:
+    """Whether two panels have the same series."""
+    x, y = a.select(roles.id).distinct(), b.select(roles.id).distinct()
+    return not x.exceptAll(y).limit(1).count() and not y.exceptAll(x).limit(1).count()
+
+
 def dedupe(df: DataFrame, rules: Mapping[str, str | Column], roles: Roles = ROLES) -> DataFrame:
     """One row per series and stamp; every other column needs a rule: an aggregate's name, or an expression."""
     if missing := [c for c in df.columns if c not in (roles.id, roles.time) and c not in rules]:
@@ -111,7 +138,8 @@ def sample_series(df: DataFrame, n: int, roles: Roles = ROLES, digest: str = "md
 
 
 def hash_batches(df: DataFrame, n: int, roles: Roles = ROLES) -> DataFrame:
-    return df.withColumn("batch", F.pmod(F.xxhash64(roles.id), F.lit(n)))
+    """df with a batch from 0 to n - 1 by the first 8 digits of the id's MD5, which other engines have too."""
+    return df.withColumn("batch", F.conv(F.substring(F.md5(F.col(roles.id).cast("string")), 1, 8), 16, 10).cast("long") % n)
 
 
 def infer_frequency(df: DataFrame, roles: Roles = ROLES) -> str:

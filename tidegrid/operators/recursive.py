@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def series_arrays(df: DataFrame, roles: Roles = ROLES) -> DataFrame:
     return rows.select(roles.id, "last", F.col("p.y").alias("ys"))
 
 
-def ses_level(ys: Column, alpha: float) -> Column:
+def ses_level(ys: Column, alpha: float | Column) -> Column:
     """l <- alpha y + (1 - alpha) l from the first value on."""
     return F.aggregate(F.slice(ys, 2, F.greatest(F.size(ys) - 1, F.lit(0))), F.get(ys, F.lit(0)), lambda level, y: alpha * y + (1 - alpha) * level)
 
@@ -45,6 +46,37 @@ def smoothing(df: DataFrame, h: int, step: Freq, model: str = "ses", alpha: floa
     return rows.select(roles.id, step.add(F.col("last"), F.col("k")).alias(roles.time), F.col("v").alias(name or model))
 
 
+def best_weights(df: DataFrame, steps: int = 19, roles: Roles = ROLES) -> DataFrame:
+    """(id, alpha): of `steps` weights from 0.05 to 0.95 the one whose simple smoothing has the least squared errors one step ahead."""
+    grid = np.linspace(0.05, 0.95, max(1, steps))
+    rows = series_arrays(df, roles)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for ys in b.column("ys").to_pylist():
+                y, level, loss = np.asarray(ys, float), np.full(len(grid), ys[0]), np.zeros(len(grid))
+                for v in y[1:]:
+                    loss += (v - level) ** 2
+                    level += grid * (v - level)
+                out.append(float(grid[loss.argmin()]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["i", "alpha"])
+
+    found = rows.select(roles.id, "ys").mapInArrow(run, f"i {dict(rows.dtypes)[roles.id]}, alpha double")
+    return found.withColumnRenamed("i", roles.id)
+
+
+def tuned(df: DataFrame, h: int, step: Freq, weights: DataFrame, roles: Roles = ROLES, name: str = "ses", usual: float = 0.1) -> DataFrame:
+    """Simple smoothing with each series' own weight (id, alpha); `usual` for series without one. Ids may be structs of a series and a cutoff, as in validation."""
+    rows = series_arrays(df, roles)
+    nested = dict(rows.dtypes)[roles.id].startswith("struct<")
+    own = weights.select(F.col(roles.id).alias("__i"), F.col("alpha").alias("__a"))
+    rows = rows.join(own, (F.col(f"{roles.id}.id") if nested else F.col(roles.id)) == F.col("__i"), "left")
+    value = ses_level(F.col("ys"), F.coalesce("__a", F.lit(usual)))
+    rows = rows.select(roles.id, "last", value.alias("v")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(h))))
+    return rows.select(roles.id, step.add(F.col("last"), F.col("k")).alias(roles.time), F.col("v").alias(name))
+
+
 def adida(df: DataFrame, h: int, step: Freq, alpha: float = 0.1, roles: Roles = ROLES, name: str = "adida") -> DataFrame:
     """Smoothing of sums over buckets as long as the mean interval between demands, spread evenly."""
     rows = series_arrays(df, roles)

@@ -60,6 +60,14 @@ def train_test_cv(df: DataFrame, fit, h: int, n_windows: int = 1, step: int | No
     return out.join(df.select(roles.id, roles.time, roles.target), [roles.id, roles.time])
 
 
+def last_windows(cv: DataFrame, n_windows: int, roles: Roles = ROLES) -> DataFrame:
+    """The rows of each series' last n_windows windows, from rows with cutoff and k."""
+    from pyspark.sql import Window
+
+    newest = Window.partitionBy(roles.id, "k").orderBy(F.col("cutoff").desc())
+    return cv.withColumn("__w", F.row_number().over(newest)).filter(F.col("__w") <= n_windows).drop("__w")
+
+
 def regression_cv(df: DataFrame, xs: Sequence[str], h: int, n_windows: int = 1, step: int | None = None, roles: Roles = ROLES, name: str = "regression") -> DataFrame:
     """(id, time, cutoff, y, name, k): each window's least squares on covariates that are known ahead, learned from what precedes its cutoff."""
     key = F.struct(F.col(roles.id).alias("id"), "cutoff")

@@ -16,7 +16,7 @@ from tidegrid.functions import metrics as M
 from tidegrid.functions.freq import freq
 from tidegrid.functions.quantiles import z_of
 from tidegrid.operators import anomaly, audit, evaluate, explain, forecast, grid, hierarchy, intervals, models, panel, recursive, validation
-from tidegrid.plans import arena
+from tidegrid.plans import api, arena
 from tidegrid.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,7 +132,7 @@ def holdout_split(spark, sf):
     return panel.holdout(p2(spark, sf), 7)
 
 
-@query()
+@query(f"WITH {P2} SELECT CAST('0x' || substr(md5(unique_id), 1, 8) AS BIGINT) % 16 AS batch, count(DISTINCT unique_id) AS n_series FROM p GROUP BY 1")
 def hash_batches(spark, sf):
     return panel.hash_batches(p2(spark, sf), 16).groupBy("batch").agg(F.count_distinct("unique_id").alias("n_series"))
 
@@ -220,7 +220,7 @@ def date_features_daily(spark, sf):
 
 @query("SELECT event_id, ts AS ds, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute, CAST(second(ts) AS INTEGER) AS second FROM events")
 def date_features_seconds(spark, sf):
-    return C.date_features(spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").alias("ds")), C.default_parts("seconds"))
+    return C.date_features(spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").alias("ds")), [*C.default_parts("seconds"), "weekday"])
 
 
 @query("SELECT event_id, round(sin(hour(ts) * 2 * pi() / 24), 4) + 0.0 AS hour_sin, round(cos(hour(ts) * 2 * pi() / 24), 4) + 0.0 AS hour_cos FROM events")
@@ -348,7 +348,11 @@ def tsb(spark, sf):
     return rounded(recursive.smoothing(zeros(spark, sf), 7, D, "tsb"), ["tsb"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {P2}, {ZEROS}, r AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS rn FROM q),
+    z AS (SELECT unique_id, count(*) AS n, max(ds) AS last, greatest(1, coalesce(CAST(round(count(*) / nullif(count(*) FILTER (y <> 0), 0)) AS INTEGER), 1)) AS size FROM r GROUP BY 1),
+    b AS (SELECT unique_id, (rn - n % size - 1) // size AS b, sum(y) AS v, any_value(size) AS size, any_value(last) AS last FROM r JOIN z USING (unique_id) WHERE rn > n % size GROUP BY 1, 2),
+    s AS (SELECT unique_id, b, size, last, v AS l FROM b WHERE b = 0 UNION ALL SELECT b.unique_id, b.b, b.size, b.last, 0.1::DOUBLE * b.v + 0.9::DOUBLE * s.l FROM s JOIN b ON b.unique_id = s.unique_id AND b.b = s.b + 1),
+    {_AHEAD} SELECT unique_id, last + to_days(k) AS ds, round(max_by(l, b) / any_value(size), 6) AS adida FROM s, k GROUP BY unique_id, last, k""")
 def adida(spark, sf):
     return rounded(recursive.adida(zeros(spark, sf), 7, D), ["adida"])
 
@@ -564,6 +568,101 @@ def anomaly_online_multi(spark, sf):
     return rounded(anomaly.online_multivariate(p1(spark, sf), 4, 4, 7, 90, calibration=12), ["anomaly_score", "accumulated_anomaly_score"])
 
 
+# ---- models, covariates and detectors by the entry points --------------------------------------------------------
+
+_AVG = "(SELECT avg(y) FROM r WHERE r.unique_id = cv.unique_id AND r.rn <= cv.c)"
+
+
+@query(f"""WITH {P1}, {POS}, {CV3}, v AS (SELECT unique_id, k, quantile_cont(abs(y - {_AVG}), 0.8) AS w FROM cv GROUP BY 1, 2), l AS (SELECT unique_id, max(ds) AS last, avg(y) AS m FROM p GROUP BY 1)
+    SELECT unique_id, last + to_days(k) AS ds, round(m, 6) AS hist_avg, round(m - w, 6) AS "hist_avg-lo-80", round(m + w, 6) AS "hist_avg-hi-80" FROM l JOIN v USING (unique_id)""")
+def fc_levels_hist_avg(spark, sf):
+    """Intervals come from the errors of the model that is asked for."""
+    return rounded(api.forecast_panel(p1(spark, sf), 7, "D", "hist_avg", level=[80]), ["hist_avg", "hist_avg-lo-80", "hist_avg-hi-80"])
+
+
+@query(f"""WITH {P1}, {POS}, {CV.format(h=5, p=5, w=4, s=7)}, x AS (SELECT *, dense_rank() OVER (PARTITION BY unique_id ORDER BY c) AS w FROM cv),
+    v AS (SELECT a.unique_id, a.k, a.w, quantile_cont(abs(b.y - b.seasonal_naive), 0.8) AS q FROM x a JOIN x b ON b.unique_id = a.unique_id AND b.k = a.k AND b.w BETWEEN a.w - 2 AND a.w - 1 GROUP BY 1, 2, 3)
+    SELECT unique_id, ds, y, seasonal_naive, cutoff, round(seasonal_naive - q, 6) AS "seasonal_naive-lo-80", round(seasonal_naive + q, 6) AS "seasonal_naive-hi-80" FROM x JOIN v USING (unique_id, k, w) WHERE w > 2""")
+def cv_levels(spark, sf):
+    """A window's intervals come from windows that end before it begins."""
+    out = api.cross_validation(p1(spark, sf), 5, "D", n_windows=2, level=[80], calibration_windows=2)
+    return rounded(out, ["seasonal_naive-lo-80", "seasonal_naive-hi-80"])
+
+
+@query(f"""WITH {P1}, {POS}, {_LAST} SELECT * FROM (SELECT unique_id, ds, round(avg(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS hist_avg FROM p) WHERE hist_avg IS NOT NULL
+    UNION ALL SELECT unique_id, last + to_days(k), round(m, 6) FROM l, k""")
+def history_of_model(spark, sf):
+    return rounded(api.forecast_panel(p1(spark, sf), 14, "D", "hist_avg", add_history=True), ["hist_avg"])
+
+
+_BAND = """SELECT unique_id, ds, y, round(f, {n}) AS {m}, y < f - w OR y > f + w AS anomaly, round(f - w, {n}) AS "{m}-lo-95", round(f + w, {n}) AS "{m}-hi-95" FROM (SELECT *, {z}::DOUBLE * stddev_samp(y - f) OVER (PARTITION BY unique_id) AS w FROM f WHERE f IS NOT NULL)"""
+
+
+@query(f"WITH {P2}, f AS (SELECT *, avg(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM p) {_BAND.format(n=6, m='hist_avg', z=repr(z_of(95)))}")
+def anomaly_of_model(spark, sf):
+    out = api.detect_anomalies(p2(spark, sf), "D", 95, model="hist_avg", validate=False)
+    return rounded(out, ["hist_avg", "hist_avg-lo-95", "hist_avg-hi-95"])
+
+
+@query(f"WITH {P3}, m AS (SELECT unique_id, avg(y) AS ym, avg(x) AS xm, regr_slope(y, x) AS b FROM p GROUP BY 1), f AS (SELECT p.unique_id, ds, y, ym + b * (x - xm) AS f FROM p JOIN m USING (unique_id)) {_BAND.format(n=1, m='lm', z=repr(z_of(95)))}")
+def anomaly_with_covariate(spark, sf):
+    out = api.detect_anomalies(p3(spark, sf), "MS", 95, model="lm", exog=["x"], validate=False)
+    return rounded(out, ["lm", "lm-lo-95", "lm-hi-95"], 1)
+
+
+@query(f"""WITH {P1}, {POS}, {CV.format(h=4, p=4, w=4, s=7)}, x AS (SELECT unique_id, ds, y, {_AVG} AS f FROM cv WHERE c >= 1), o AS (SELECT *, y - f AS r, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) <= 4 AS live FROM x),
+    m AS (SELECT *, avg(r) FILTER (NOT live) OVER s AS mu, stddev_samp(r) FILTER (NOT live) OVER s AS sd FROM o WINDOW s AS (PARTITION BY unique_id))
+    SELECT unique_id, ds, y, round(f, 6) AS hist_avg, y < f + mu - {z_of(90)!r}::DOUBLE * sd OR y > f + mu + {z_of(90)!r}::DOUBLE * sd AS anomaly, round((r - mu) / nullif(sd, 0), 6) AS anomaly_score,
+    round(f + mu - {z_of(90)!r}::DOUBLE * sd, 6) AS "hist_avg-lo-90", round(f + mu + {z_of(90)!r}::DOUBLE * sd, 6) AS "hist_avg-hi-90" FROM m WHERE live""")
+def anomaly_online_of_model(spark, sf):
+    own = p1(spark, sf)
+    cv = lambda n, apart: validation.train_test_cv(own, lambda d: forecast.hist_avg(d, 4, D), 4, n, apart)
+    out = anomaly.online(own, 4, 4, 1, 90, calibration=12, name="hist_avg", windows=cv)
+    return rounded(out, ["hist_avg", "anomaly_score", "hist_avg-lo-90", "hist_avg-hi-90"])
+
+
+_LAGGED = f"{P3}, r AS (SELECT *, row_number() OVER s AS rn, count(*) OVER (PARTITION BY unique_id) AS n, lag(x, 3) OVER s AS z FROM p WINDOW s AS (PARTITION BY unique_id ORDER BY ds))"
+
+
+@query(f"""WITH {_LAGGED}, c AS (SELECT unique_id, n - 3 - 3 * (1 - w) AS c, ds AS cutoff FROM r, (SELECT unnest(range(2)) AS w) WHERE rn = n - 3 - 3 * (1 - w)),
+    m AS (SELECT c.unique_id, c.c, cutoff, avg(y) AS ym, avg(z) AS zm, regr_slope(y, z) AS b FROM c JOIN r ON r.unique_id = c.unique_id AND rn <= c.c AND z IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT r.unique_id, ds, y, round(ym + b * (z - zm), 1) AS lm, cutoff FROM m JOIN r ON r.unique_id = m.unique_id AND rn BETWEEN m.c + 1 AND m.c + 3""")
+def cv_past_covariate(spark, sf):
+    """A covariate of the past alone enters as its values of h rows before."""
+    return rounded(api.cross_validation(p3(spark, sf), 3, "MS", 2, model="lm", hist=["x"], validate=False), ["lm"], 1)
+
+
+@query(f"""WITH {_LAGGED}, m AS (SELECT unique_id, avg(y) AS ym, avg(z) AS zm, regr_slope(y, z) AS b, max(ds) AS last, max(n) AS n FROM r WHERE z IS NOT NULL GROUP BY 1)
+    SELECT m.unique_id, last + to_months(CAST(k AS INTEGER)) AS ds, round(ym + b * (x - zm), 1) AS lm FROM m, (SELECT unnest(range(1, 4)) AS k) JOIN r ON r.unique_id = m.unique_id AND r.rn = m.n + k - 3""")
+def fc_past_covariate(spark, sf):
+    return rounded(api.forecast_panel(p3(spark, sf), 3, "MS", "lm", hist=["x"], validate=False), ["lm"], 1)
+
+
+@query(f"""WITH {P1}, {_LAST}, w AS (SELECT unique_id, isodow(ds) AS d, avg(y) AS m FROM p GROUP BY 1, 2)
+    SELECT l.unique_id, last + to_days(k) AS ds, round(w.m, 6) AS lm FROM l, k JOIN w ON w.unique_id = l.unique_id AND w.d = isodow(last + to_days(k))""")
+def fc_date_features(spark, sf):
+    """Regression on a column for each weekday: the weekdays' means."""
+    return rounded(api.forecast_panel(p1(spark, sf), 14, "D", "lm", dates=["weekday"], one_hot=["weekday"]), ["lm"])
+
+
+@query(f"WITH {P1}, {POS}, {CV3} SELECT unique_id, ds, y, round((SELECT avg(y) FROM r WHERE r.unique_id = cv.unique_id AND r.rn <= cv.c AND isodow(r.ds) = isodow(cv.ds)), 6) AS lm, cutoff FROM cv")
+def cv_categorical(spark, sf):
+    own = p1(spark, sf).withColumn("day", F.date_format("ds", "EEEE"))
+    return rounded(api.cross_validation(own, 7, "D", 3, model="lm", exog=["day"], categorical=["day"]), ["lm"])
+
+
+@query(f"""WITH {P1}, {POS}, {CV3}, d AS (SELECT *, abs(y - lag(y, 7) OVER (PARTITION BY unique_id ORDER BY ds)) AS d FROM r), e AS (SELECT unique_id, cutoff, any_value(c) AS c, avg(abs(y - seasonal_naive)) AS mae FROM cv GROUP BY 1, 2),
+    s AS (SELECT e.unique_id, e.cutoff, any_value(mae) AS mae, avg(d) AS s FROM e JOIN d ON d.unique_id = e.unique_id AND d.rn <= e.c GROUP BY 1, 2) SELECT unique_id, cutoff, round(coalesce(CASE WHEN s >= 0.01 THEN mae / s END, 0), 6) AS mase FROM s""")
+def mase_by_cutoff(spark, sf):
+    own = p1(spark, sf)
+    return rounded(evaluate.mase(validation.seasonal_cv(own, 7, 7, 3), own, "seasonal_naive", 7), ["mase"])
+
+
+@query(f"WITH {P2} SELECT unique_id, count(*) AS n, 28 AS needed, count(*) || ' rows, 28 needed' AS reason FROM p GROUP BY 1 HAVING count(*) < 28")
+def short_series(spark, sf):
+    return panel.short_series(p2(spark, sf), "days", need=28)
+
+
 # ---- hierarchies -------------------------------------------------------------------------------------------------
 
 SPEC = [["total"], ["total", "region"], ["total", "region", "nation"]]
@@ -608,7 +707,7 @@ def hier_top_down(spark, sf):
 def hier_min_trace(spark, sf):
     own, _ = _bottom(spark, sf)
     base = forecast.hist_avg(hierarchy.aggregate(own, SPEC), 3, MS)
-    return rounded(hierarchy.min_trace(base, hierarchy.summing_edges(own, SPEC).toPandas(), "hist_avg"), ["hist_avg"], 1)
+    return rounded(hierarchy.min_trace(base, hierarchy.summing_edges(own, SPEC), "hist_avg"), ["hist_avg"], 1)
 
 
 @query(f"WITH {P1}, {POS} SELECT unique_id, '7-day-period-' || CAST((rn - 1) // 7 + 1 AS VARCHAR) AS temporal_id, max(ds) AS ds, round(sum(y), 3) AS y FROM r GROUP BY unique_id, (rn - 1) // 7 HAVING count(*) = 7")
