@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import small_batches
 
-#: Distinct fragments, and words, that a worker remembers, and the longest of them in characters.
+#: Distinct fragments, and words, that a worker remembers anew before it forgets those of the generation before, and the longest of them in characters.
 CACHE_ROWS, CACHE_CHARS = 100_000, 48
 #: Symbols up to which all places of the best pair are merged at once; longer fragments take a heap of pairs.
 SCAN = 64
@@ -93,6 +93,8 @@ class ForcedBoundaryBPE:
         self.words = regex.compile(WORDS).findall
         self.known: dict[str, bytes] = {}
         self.known_words: dict[str, list[int]] = {}
+        self.older: dict[str, bytes] = {}
+        self.older_words: dict[str, list[int]] = {}
 
     def merged(self, raw: bytes) -> list[int]:
         """Ids of bytes without a forced boundary among them: of all pairs side by side the leftmost of the least rank is merged, until none is left."""
@@ -135,19 +137,26 @@ class ForcedBoundaryBPE:
         """Ids of one word, cut at its forced boundaries."""
         if found := self.known_words.get(word):
             return found
+        if found := self.older_words.get(word):
+            return self._remember_word(word, found)
         raw, joined, out, at = word.encode("utf-8", "surrogatepass"), self.joined, [], 0
         for i in range(1, len(raw)):
             if not joined[raw[i - 1]][raw[i]]:
                 out += self.merged(raw[at:i])
                 at = i
         out += self.merged(raw[at:])
+        return self._remember_word(word, out)
+
+    def _remember_word(self, word: str, ids: list[int]) -> list[int]:
         if len(word) <= CACHE_CHARS:
             if len(self.known_words) >= CACHE_ROWS:
-                self.known_words.clear()
-            self.known_words[word] = out
-        return out
+                self.older_words, self.known_words = self.known_words, {}
+            self.known_words[word] = ids
+        return ids
 
     def _fresh(self, fragment: str) -> bytes:
+        if found := self.older.get(fragment):
+            return self._remember(fragment, found)
         ids, at = array("I"), 0
         if one := _WORD(fragment):
             for word in one.groups():
@@ -167,13 +176,13 @@ class ForcedBoundaryBPE:
     def _remember(self, fragment: str, ids: bytes) -> bytes:
         if len(fragment) <= CACHE_CHARS:
             if len(self.known) >= CACHE_ROWS:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[fragment] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, 4 bytes each; null as empty."""
-        known, fresh = self.known.get, self._fresh
+        known, fresh = self.known.get, self._fresh  # a generation that is replaced meanwhile still holds what it held
         return b"".join([known(f) or fresh(f) for f in self.fragments(text or "")])
 
     def decode(self, ids: bytes) -> str:
