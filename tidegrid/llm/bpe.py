@@ -28,8 +28,8 @@ from tidegrid.llm.common import small_batches
 CACHE_ROWS, CACHE_CHARS = 100_000, 48
 #: Symbols up to which all places of the best pair are merged at once; longer fragments take a heap of pairs.
 SCAN = 64
-#: Bits of an id in a number that holds two; what no merge's number reaches.
-BITS, NEVER = 24, 1 << 62
+#: Bits of an id in a number that holds two; what no merge's number reaches, and the mark of a forced boundary.
+BITS, NEVER, CUT = 24, 1 << 62, 1 << 63
 LAST = (1 << BITS) - 1
 
 
@@ -59,7 +59,7 @@ def _splitter(inside: np.ndarray) -> Callable[[str], list[str]]:
 class ForcedBoundaryBPE:
     """The coder of one tokenizer file; texts in, little-endian unsigned 32-bit ids out, and back."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remember: int = CACHE_ROWS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -86,22 +86,23 @@ class ForcedBoundaryBPE:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         #: Of two ids side by side, as one number: the merge's rank and, in the last BITS, the id of both.
         self.merges = {vocab[a] << BITS | vocab[b]: rank << BITS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
-        self.joined = inside.tolist()
+        #: Of two bytes side by side: the number of their merge, NEVER without one, CUT where no token holds them.
+        self.pairs = [[CUT if not inside[a, b] else self.merges.get(self.byte_id[a] << BITS | self.byte_id[b], NEVER) for b in range(256)] for a in range(256)]
         self.fragments = _splitter(inside)
         self.added = {a["content"]: a["id"] for a in added}
         self.special = re.compile("|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) or "(?!)")
         self.words = regex.compile(WORDS).findall
+        self.remember = remember
         self.known: dict[str, bytes] = {}
         self.known_words: dict[str, list[int]] = {}
         self.older: dict[str, bytes] = {}
         self.older_words: dict[str, list[int]] = {}
 
-    def merged(self, raw: bytes) -> list[int]:
-        """Ids of bytes without a forced boundary among them: of all pairs side by side the leftmost of the least rank is merged, until none is left."""
+    def merged(self, raw: bytes, ranks: list[int]) -> list[int]:
+        """Ids of bytes without a forced boundary among them, from the numbers of their pairs: the leftmost pair of the least rank is merged, until none is left."""
         get, ids = self.merges.get, [self.byte_id[b] for b in raw]
         if len(ids) > SCAN:
             return self._merged_by_heap(ids)
-        ranks = [get(a << BITS | b, NEVER) for a, b in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) != NEVER:
             i = ranks.index(best)
             ids[i] = new = best & LAST
@@ -139,17 +140,19 @@ class ForcedBoundaryBPE:
             return found
         if found := self.older_words.get(word):
             return self._remember_word(word, found)
-        raw, joined, out, at = word.encode("utf-8", "surrogatepass"), self.joined, [], 0
-        for i in range(1, len(raw)):
-            if not joined[raw[i - 1]][raw[i]]:
-                out += self.merged(raw[at:i])
-                at = i
-        out += self.merged(raw[at:])
+        raw, rows = word.encode("utf-8", "surrogatepass"), self.pairs
+        ranks = [rows[a][b] for a, b in zip(raw, raw[1:])]
+        out, at = [], 0
+        while CUT in ranks[at:]:
+            i = ranks.index(CUT, at)
+            out += self.merged(raw[at : i + 1], ranks[at:i])
+            at = i + 1
+        out += self.merged(raw[at:], ranks[at:])
         return self._remember_word(word, out)
 
     def _remember_word(self, word: str, ids: list[int]) -> list[int]:
         if len(word) <= CACHE_CHARS:
-            if len(self.known_words) >= CACHE_ROWS:
+            if len(self.known_words) >= self.remember:
                 self.older_words, self.known_words = self.known_words, {}
             self.known_words[word] = ids
         return ids
@@ -175,7 +178,7 @@ class ForcedBoundaryBPE:
 
     def _remember(self, fragment: str, ids: bytes) -> bytes:
         if len(fragment) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_ROWS:
+            if len(self.known) >= self.remember:
                 self.older, self.known = self.known, {}
             self.known[fragment] = ids
         return ids
@@ -190,13 +193,13 @@ class ForcedBoundaryBPE:
 
 
 @cache
-def coder(file: str) -> ForcedBoundaryBPE:
-    """One coder for each worker process and file: a name among the public tokenizers, whose place each machine knows for itself, or a path."""
+def coder(file: str, remember: int = CACHE_ROWS) -> ForcedBoundaryBPE:
+    """One coder for each worker process, file and number of words to remember (some 250 bytes each, twice): a name among the public tokenizers, whose place each machine knows for itself, or a path."""
     if "/" in file:
-        return ForcedBoundaryBPE(file)
+        return ForcedBoundaryBPE(file, remember)
     import public_tokenizers
 
-    return ForcedBoundaryBPE(public_tokenizers.path(file))
+    return ForcedBoundaryBPE(public_tokenizers.path(file), remember)
 
 
 def encode_column(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:

@@ -39,7 +39,7 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str = TOKENIZER)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sha = bpe.coder(path), lambda b: hashlib.sha256(b).hexdigest()
+        own, sha = bpe.coder(path, 300_000), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             rows = []
             for text in batch.column("text"):
