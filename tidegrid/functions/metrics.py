@@ -13,8 +13,14 @@ def _over(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
-def mae(y: Column, f: Column) -> Column:
-    return F.avg(F.abs(y - f))
+def avg_along(value: Column, along: Column, rising: bool = True) -> Column:
+    """The mean of a group, added up along a column, so that the last bits don't depend on where rows are. A group is held as one array."""
+    own = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct(along.alias("at"), value.cast("double").alias("v")))), rising)
+    return F.aggregate(own, F.lit(0.0), lambda total, r: total + r["v"]) / F.nullif(F.count(value).cast("double"), F.lit(0.0))
+
+
+def mae(y: Column, f: Column, avg: Callable[[Column], Column] = F.avg) -> Column:
+    return avg(F.abs(y - f))
 
 
 def mse(y: Column, f: Column) -> Column:

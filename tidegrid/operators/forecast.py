@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions import metrics as M
 from tidegrid.functions.freq import Freq, freq
 from tidegrid.operators.panel import ROLES, Roles
 
@@ -27,16 +28,18 @@ def naive(df: DataFrame, h: int, step: Freq, roles: Roles = ROLES, name: str = "
     return _spread(s, F.col("v"), h, step, name, roles)
 
 
-def hist_avg(df: DataFrame, h: int, step: Freq, roles: Roles = ROLES, name: str = "hist_avg") -> DataFrame:
-    s = df.groupBy(roles.id).agg(F.max(roles.time).alias("last"), F.avg(roles.target).alias("v"))
+def hist_avg(df: DataFrame, h: int, step: Freq, roles: Roles = ROLES, name: str = "hist_avg", ordered: bool = False) -> DataFrame:
+    """The mean; ordered: added up from the last value to the first, to the same bits in every run."""
+    mean = M.avg_along(F.col(roles.target), F.col(roles.time), rising=False) if ordered else F.avg(roles.target)
+    s = df.groupBy(roles.id).agg(F.max(roles.time).alias("last"), mean.alias("v"))
     return _spread(s, F.col("v"), h, step, name, roles)
 
 
 def drift(df: DataFrame, h: int, step: Freq, roles: Roles = ROLES, name: str = "drift") -> DataFrame:
     """The line through the first and the last value."""
     s = df.groupBy(roles.id).agg(F.max(roles.time).alias("last"), F.max_by(roles.target, roles.time).alias("b"), F.min_by(roles.target, roles.time).alias("a"), F.count(F.lit(1)).alias("n"))
-    slope = (F.col("b") - F.col("a")) / F.nullif((F.col("n") - 1).cast("double"), F.lit(0.0))
-    return _spread(s, F.col("b") + F.col("k") * slope, h, step, name, roles)
+    gone = F.col("k") * (F.col("b") - F.col("a")).cast("double") / F.nullif((F.col("n") - 1).cast("double"), F.lit(0.0))
+    return _spread(s, F.col("b") + gone, h, step, name, roles)
 
 
 def linear_trend(df: DataFrame, h: int, step: Freq, roles: Roles = ROLES, name: str = "linear_trend") -> DataFrame:
